@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, sharding
+from tracewell.llm import mixing, sharding, tokenids
+from tracewell.llm.shared import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +23,20 @@ def query(f):
     return f
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "ids")
+    token_of = tokenids.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, end=2)
+    return tokenids.read_index(spark, folder, token_of)
+
+
 @query
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto(table(spark, sf_dir, "documents"))
