@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, sharding, tokenids
+from tracewell.llm import bpe, mixing, sharding, tokenids
 from tracewell.llm.shared import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,21 @@ def pareto(docs: DataFrame) -> DataFrame:
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
+    return bpe_digest(bpe.encode_decode(docs, path, bpe.build_lexicon(docs, path)))
+
+
+def bpe_digest(coded: DataFrame) -> DataFrame:
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(table(spark, sf_dir, "documents"), 24)

@@ -6,6 +6,7 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 #: Words are runs of other bytes than these: [^\x20\x09-\x0D]+
 WHITE = np.zeros(256, bool)
@@ -103,6 +104,16 @@ def strings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[str]
     return [whole[b:e].decode("utf-8", "replace") for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
+def cut(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the given spans end to end, and where each begins (one more entry than spans)."""
+    return data[gather(begins, ends - begins)], np.concatenate(([0], np.cumsum(ends - begins)))
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow column of byte strings that lie end to end; under 2 GB."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the ranges starts[i] .. starts[i] + lengths[i], one after the other."""
     total = int(lengths.sum())
