@@ -7,7 +7,6 @@ space apart (NFC, white space to one space, lower case): such a part is encoded
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import re
@@ -16,18 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, text_bytes, work_folder
+from tracewell.llm.shared import blocks, bounded_arrow, share, text_bytes
 from tracewell.llm.tokenids import tokenizer
 from tracewell.llm.transducer import Lexicon, build, open_lexicon
 
 #: Words of the lexicon: the most frequent ones of all documents.
 LEXICON_WORDS = 1 << 16
-#: Distinct parts of texts whose ids a worker remembers, and words counted before they are sent on.
-REMEMBERED = 400_000
+#: Distinct parts of texts whose ids a worker remembers.
+REMEMBERED = 2_000_000
 #: Words of up to so many bytes are merged many at a time.
 SHORT = 40
 NEVER = np.int32(2**31 - 1)
@@ -206,27 +205,23 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.merged: dict[bytes, list[int]] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begins, self.lengths, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.memory, self.lists = words.Memory(REMEMBERED + (1 << 20)), words.Ragged(np.int32)
 
     def words(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words."""
         out: dict[bytes, list[int]] = {}
-        rest = parts
         if self.lexicon is not None and parts:
             places = self.lexicon.places(parts).tolist()
             out = {w: self.lexicon.output(p) for w, p in zip(parts, places, strict=True) if p >= 0}
-            rest = [w for w, p in zip(parts, places, strict=True) if p < 0]
-        new = [w for w in rest if w not in self.merged]
-        self.merged.update(zip(new, self.bpe.merge(new), strict=True))
-        return out | {w: self.merged[w] for w in rest}
+            parts = [w for w, p in zip(parts, places, strict=True) if p < 0]
+        out.update(zip(parts, self.bpe.merge(parts), strict=True))
+        return out
 
     def learn(self, parts: list[bytes]) -> None:
         split = [self.bpe.split(x) for x in parts]
         ids_of = self.words(list(dict.fromkeys(w for x in split for w in x if type(w) is bytes)))
         flat: list[int] = []
-        ends = []
+        ends = [0]
         for x in split:
             for w in x:
                 if type(w) is bytes:
@@ -234,31 +229,20 @@ class Encoder:
                 else:
                     flat.append(w)
             ends.append(len(flat))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        to = self.count + len(parts)
-        while to > len(self.begins):
-            self.begins, self.lengths = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.begins, self.lengths))
-        stops = np.array(ends, np.int64)
-        starts = np.concatenate(([0], stops[:-1])) if len(stops) else stops
-        self.begins[self.count : to], self.lengths[self.count : to] = starts + self.used, stops - starts
-        self.known.update(zip(parts, range(self.count, to), strict=True))
-        self.used += len(flat)
-        self.count = to
+        self.lists.add(np.array(flat, np.int32), np.diff(ends))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin."""
         begins, ends, before = words.spans(data, offsets)
-        codes, first = words.distinct(data, begins, ends)
-        raw = data.tobytes()
-        parts = [raw[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
-        if max(self.count, len(self.merged)) > REMEMBERED:
+        codes, first, keys = words.distinct(data, begins, ends)
+        if self.memory.count > REMEMBERED:
             self.forget()
-        self.learn([x for x in parts if x not in self.known])
-        entry = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[codes]
-        lengths = self.lengths[entry]
-        return self.ids[words.gather(self.begins[entry], lengths)], np.concatenate(([0], np.cumsum(lengths)))[before]
+        number = self.memory.find(keys)
+        new = np.flatnonzero(number < 0)
+        number[new] = self.memory.add(keys[new])
+        self.learn(words.pieces(data, begins[first[new]], ends[first[new]]))
+        ids, lengths = self.lists.take(number[codes])
+        return ids, np.concatenate(([0], np.cumsum(lengths)))[before]
 
 
 @functools.cache
@@ -277,7 +261,7 @@ def _counted(path: str):
             for part in blocks(batch, "text"):
                 data, offsets = text_bytes(part.column(0))
                 begins, ends, _ = words.spans(data, offsets)
-                codes, first = words.distinct(data, begins, ends)
+                codes, first, _ = words.distinct(data, begins, ends)
                 data, offsets = words.cut(data, begins[first], ends[first])
                 yield pa.record_batch([words.binary(data, offsets), pa.array(np.bincount(codes, minlength=len(first)))], ["part", "n"])
 
@@ -292,19 +276,7 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
     counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").groupBy("part").agg(F.sum("n").alias("n"))
     parts = [bytes(r["part"]) for r in counts.orderBy(F.desc("n"), "part").limit(size).collect()]
     frequent = sorted({w for x in parts for w in bpe.split(x) if type(w) is bytes})
-    return share(spark, build(frequent, bpe.merge(frequent)))
-
-
-def share(spark: SparkSession, raw: bytes) -> str:
-    """Puts a file of bounded size into the shared folder, from which each executor fetches it; gives its name."""
-    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:16]}.bin"
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark, 'lexicon')}/{name}")
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(raw))
-    out.close()
-    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(place.toString())
-    return name
+    return share(spark, "lexicon", build(frequent, bpe.merge(frequent)))
 
 
 def _encoded(path: str, lexicon: str | None):

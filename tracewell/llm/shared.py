@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch to Python; texts may be long.
 ARROW_ROWS = 1000
 #: Bytes of text that a Python task handles at a time; a longer text is handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @functools.cache
@@ -29,7 +34,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, sort: list | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark, folder = df.sparkSession, work_folder(df.sparkSession, name)
     df.write.parquet(folder)
@@ -42,14 +47,45 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def folder_of(df: DataFrame) -> str:
-    """The folder of what written() gave."""
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+def _put(spark: SparkSession, name: str, raw: bytes) -> str:
+    """Writes a file of bounded size into the shared folder; gives its place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark, 'share')}/{name}")
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(raw))
+    out.close()
+    return place.toString()
+
+
+def share(spark: SparkSession, name: str, raw: bytes) -> str:
+    """Puts a file of bounded size into the shared folder, from which each executor fetches it.
+
+    Gives the name under which SparkFiles finds it on every machine; workers map it, so one copy serves them all.
+    """
+    name = f"{name}-{hashlib.sha256(raw).hexdigest()[:16]}.bin"
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(_put(spark, name, raw))
+    return name
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers where their PYTHONPATH doesn't have it."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(":"))):
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted((root / "tracewell").rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root))), p.read_bytes())
+    name = f"tracewell-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(_put(spark, name, held.getvalue()))
 
 
 def bounded_arrow(spark: SparkSession) -> None:
-    """Bounds the rows, and so the bytes, that one Arrow batch brings to a Python worker."""
+    """Bounds the rows, and so the bytes, that one Arrow batch brings to a Python worker, which gets this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
 
 
 def crc_remainder(doc_id) -> object:

@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 20
 #: Ids that a file has on average, at most.
 FILE_IDS = 1 << 24
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 
 # ---- the code ----
 
@@ -93,6 +93,9 @@ def read_blocks(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]
 
 # ---- texts to ids ----
 
+ASCII_LETTERS = np.zeros(256, bool)
+ASCII_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
 
 @functools.cache
 def tokenizer(path: str):
@@ -108,8 +111,9 @@ def tokenizer(path: str):
 class Encoder:
     """Encodes whole texts with a byte-level tokenizer whose tokens hold a space at their begin only.
 
-    Such a text falls apart at each single space or line feed: what lies between is encoded alone, with the space
-    before it, to the same ids. So each distinct piece goes through the tokenizer once and its ids are remembered.
+    Such a text falls apart before each single space, at each line feed and after ASCII letters: the tokenizer's own
+    pattern always ends a word there. A piece is encoded alone, with the space before it, to the same ids. So each
+    distinct piece goes through the tokenizer once and its ids are remembered.
     Texts with other white space beside a space or line feed, or with an added token, go to the tokenizer whole.
     """
 
@@ -128,38 +132,24 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.ids[0] = self.line or 0
-        self.begins, self.lengths = np.zeros(REMEMBERED + (1 << 20), np.int64), np.zeros(REMEMBERED + (1 << 20), np.int64)
-        self.lengths[0] = 1
-        self.count = 1  # entry 0 is the line feed
+        self.memory, self.lists = words.Memory(REMEMBERED + (1 << 20)), words.Ragged(np.uint32)
+        if self.pieces:  # number 0 is the line feed
+            self.memory.add(np.zeros((1, 2), np.uint64))
+            self.lists.add(np.array([self.line], np.uint32), np.array([1]))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encodes pieces that aren't known, many at a time, told apart by line feeds."""
-        at = 0
-        while at < len(pieces):
+        for at in range(0, len(pieces), 8192):
             part = pieces[at : at + 8192]
-            at += len(part)
             ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) != len(part) - 1:
+            line = ids == self.line
+            ends = np.concatenate((np.flatnonzero(line), [len(ids)]))
+            if len(ends) != len(part):
                 raise ValueError("a piece holds a line feed")
-            begins = np.concatenate(([0], cuts + 1))
-            lengths = np.concatenate((cuts, [len(ids)])) - begins
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            to = self.count + len(part)
-            while to > len(self.begins):
-                self.begins, self.lengths = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.begins, self.lengths))
-            self.begins[self.count : to], self.lengths[self.count : to] = begins + self.used, lengths
-            self.known.update(zip(part, range(self.count, to), strict=True))
-            self.used += len(ids)
-            self.count = to
+            self.lists.add(ids[~line], np.diff(ends, prepend=-1) - 1)
 
     def apart(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts can't be taken apart."""
@@ -188,6 +178,19 @@ class Encoder:
                 at = raw.find(token, at + 1)
         return out
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the pieces: cut before spaces, at line feeds, and where an ASCII letter ends and no letter follows."""
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        line, letter = data == 0x0A, ASCII_LETTERS[data]
+        edge[:-1] |= (data == 0x20) | line
+        edge[1:-1] |= line[:-1] | letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+        edge[-1] = True
+        cuts = np.flatnonzero(edge)
+        begins, ends = cuts[:-1], cuts[1:]
+        words_only = ~line[begins]
+        return begins[words_only], ends[words_only]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text."""
         whole = self.apart(data, offsets) if self.pieces else np.ones(len(offsets) - 1, bool)
@@ -198,30 +201,21 @@ class Encoder:
                 out[k] = ids
         if whole.all():
             return out
-        delimiters = np.zeros(256, bool)
-        delimiters[[0x20, 0x0A]] = True
-        begins, ends, _ = words.spans(data, offsets, delimiters)
-        texts = np.searchsorted(offsets, begins, "right") - 1
-        keep = ~whole[texts]
+        begins, ends = self.cut(data, offsets)
+        keep = ~whole[np.searchsorted(offsets, begins, "right") - 1]
         begins, ends = begins[keep], ends[keep]
-        after = np.zeros(len(data) + 1, bool)  # after a space of the same text
-        after[1:] = data == 0x20
-        after[offsets] = False
-        spaced = begins - after[begins]
-        codes, first = words.distinct(data, spaced, ends)
-        raw = data.tobytes()
-        pieces = [raw[b:e] for b, e in zip(spaced[first].tolist(), ends[first].tolist(), strict=True)]
-        if self.count > REMEMBERED:
+        codes, first, keys = words.distinct(data, begins, ends)
+        if self.memory.count > REMEMBERED:
             self.forget()
-        self.learn([x for x in pieces if x not in self.known])
-        entry = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
+        number = self.memory.find(keys)
+        new = np.flatnonzero(number < 0)
+        number[new] = self.memory.add(keys[new])
+        self.learn(words.pieces(data, begins[first[new]], ends[first[new]]))
         lines = np.flatnonzero(data == 0x0A)
         lines = lines[~whole[np.searchsorted(offsets, lines, "right") - 1]]
         at = np.concatenate((begins, lines))
         order = np.argsort(at, kind="stable")
-        entry = np.concatenate((entry, np.zeros(len(lines), np.int64)))[order]
-        lengths = self.lengths[entry]
-        ids = self.ids[words.gather(self.begins[entry], lengths)]
+        ids, lengths = self.lists.take(np.concatenate((number[codes], np.zeros(len(lines), np.int64)))[order])
         cut = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(at[order], offsets)]
         for k in np.flatnonzero(~whole).tolist():
             out[k] = ids[cut[k] : cut[k + 1]]

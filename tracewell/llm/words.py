@@ -13,7 +13,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SPAN = 1 << 22
+#: Bytes hashed at a time.
+SPAN = 1 << 17
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -79,29 +80,95 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int = B
     return mix(out ^ ((ends - begins).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 
-def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the number of its distinct word, and for each distinct word one place where it stands.
+def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the number of its distinct word; for each distinct word one place where it stands, and its key.
 
-    Words are told apart by two 64-bit hashes with different multipliers.
+    Words are told apart by two 64-bit hashes with different multipliers; these are the key's columns.
     """
     if not len(begins):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one, two = (hashes(data, begins, ends, base) for base in BASES)
-    codes, _ = pd.factorize(one)
-    first = np.full(int(codes.max()) + 1, -1, np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    if (two != two[first[codes]]).any():  # the first hash met twice
-        both = pd.MultiIndex.from_arrays([one, two])
-        codes, _ = both.factorize()
-        first = np.full(int(codes.max()) + 1, -1, np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    return codes, first
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    keys = np.stack([hashes(data, begins, ends, base) for base in BASES], axis=1)
+    codes, _ = pd.factorize(keys[:, 0])
+    first = _firsts(codes)
+    if (keys[:, 1] != keys[first[codes], 1]).any():  # the first hash met twice
+        codes, _ = pd.MultiIndex.from_arrays([keys[:, 0], keys[:, 1]]).factorize()
+        first = _firsts(codes)
+    return codes, first, keys[first]
 
 
-def strings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[str]:
+def _firsts(codes: np.ndarray) -> np.ndarray:
+    first = np.full(int(codes.max()) + 1, -1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
+
+
+class Memory:
+    """Numbers distinct words in the order in which they were added, by their keys: an open hash table in arrays."""
+
+    def __init__(self, most: int):
+        self.most, self.count = most, 0
+        self.mask = (1 << max(8, (3 * most // 2).bit_length())) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys = np.zeros((1 << 10, 2), np.uint64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            held = self.slots[slot]
+            same = (held >= 0) & (self.keys[held] == keys[left]).all(axis=1)
+            out[left[same]] = held[same]
+            on = (held >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for words that are distinct and unknown."""
+        to = self.count + len(keys)
+        while to > len(self.keys):
+            self.keys = np.concatenate((self.keys, np.zeros_like(self.keys)))
+        self.keys[self.count : to] = keys
+        numbers = np.arange(self.count, to)
+        left, slot = numbers, (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of several for one slot the last stays
+            on = self.slots[slot] != left
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        self.count = to
+        return numbers
+
+
+class Ragged:
+    """Lists of ids that only grow, by number."""
+
+    def __init__(self, kind: type):
+        self.ids, self.used = np.zeros(1 << 12, kind), 0
+        self.begins, self.lengths, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Appends so many lists that lie end to end."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        to = self.count + len(lengths)
+        while to > len(self.begins):
+            self.begins, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.begins, self.lengths))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begins[self.count : to] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count : to] = lengths
+        self.used, self.count = self.used + len(flat), to
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers end to end, and their lengths."""
+        lengths = self.lengths[numbers].astype(np.int64)
+        return self.ids[gather(self.begins[numbers], lengths)], lengths
+
+
+def pieces(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The words themselves."""
     whole = data.tobytes()
-    return [whole[b:e].decode("utf-8", "replace") for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return [whole[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
 def cut(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
