@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, sharding, tokenids, topk
-from tracewell.llm.shared import work_folder
+from tracewell.llm import ann, bpe, langid, mixing, sharding, tokenids, topk, toxicity
+from tracewell.llm.shared import crc_remainder, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,27 @@ def bpe_digest(coded: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder(F.col("doc_id")) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs, crc_remainder(F.col("doc_id")) != 1))
+    return out.select("doc_id", (crc_remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(table(spark, sf_dir, "documents"), 24)

@@ -85,16 +85,17 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, scale: int = 256, id_co
     asked = written(asked, "topk-queries")
     nothing = F.lit(0).cast("long")
     blocks = written(packed(vecs.select("v", "vector", nothing.alias("extra")), width, BLOCK_ROWS, "<i8", LISTS), "topk-blocks")
+    count = blocks.count()
     queries = packed(asked.select("v", "vector", nothing.alias("extra")).coalesce(1 + asked.count() // BLOCK_QUERIES), width, BLOCK_QUERIES, "<i8", LISTS)
     columns = ["list", "q_keys", "q_matrix", "q_extras", "keys", "matrix"]
 
-    heads = each_pair(block_pairs(queries, blocks), _heads(k + 1), "v long, c long, list int, partial long", columns)
+    heads = each_pair(block_pairs(queries, blocks, count), _heads(k + 1), "v long, c long, list int, partial long", columns)
     place = F.row_number().over(Window.partitionBy("v", "list").orderBy(F.desc("partial"), "c"))
     heads = heads.withColumn("place", place).filter(F.col("place") <= k + 1).select("v", "c").distinct()
     cutoff = _best(_resolved(heads, vecs), k + 1).filter(F.col("place") == k + 1).select("v", F.col("score").alias("cutoff"))
 
     with_cutoff = written(asked.join(cutoff, "v", "left").select("v", "vector", F.coalesce("cutoff", F.lit(LOWEST)).alias("extra")), "topk-cutoffs")
     queries = packed(with_cutoff.coalesce(1 + asked.count() // BLOCK_QUERIES), width, BLOCK_QUERIES, "<i8", LISTS)
-    enough = each_pair(block_pairs(queries, blocks), _above, "v long, c long", columns).distinct()
+    enough = each_pair(block_pairs(queries, blocks, count), _above, "v long, c long", columns).distinct()
     best = _best(_resolved(enough, vecs), k + 1).select("v", "c", "score")
     return answers(best, vecs, rows, is_query, k)

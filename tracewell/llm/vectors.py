@@ -80,13 +80,13 @@ def packed(rows: DataFrame, width: int, most: int, kind: str, lists: int = 1) ->
     return rows.mapInArrow(run, "block long, list int, keys binary, extras binary, matrix binary")
 
 
-def block_pairs(queries: DataFrame, blocks: DataFrame, by: Column | None = None) -> DataFrame:
+def block_pairs(queries: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
     """Every block of the query set beside every block of rows (and equal list), by an exchange on groups of blocks.
 
-    Blocks of rows are dealt into as many groups as there are shuffle partitions; each query block goes to each
-    group once. Columns of the query blocks get the prefix q_.
+    The `count` blocks of rows are dealt into groups, as many as there are shuffle partitions at most; each query
+    block goes to each group once. Columns of the query blocks get the prefix q_.
     """
-    groups = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(count, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     blocks = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     on = [F.col("group") == F.col("q_group")]
