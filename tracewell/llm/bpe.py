@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, share, text_bytes
+from tracewell.llm.shared import blocks, bounded_arrow, share, text_bytes, written
 from tracewell.llm.tokenids import tokenizer
 from tracewell.llm.transducer import Lexicon, build, open_lexicon
 
-#: Words of the lexicon: the most frequent ones of all documents.
-LEXICON_WORDS = 1 << 16
+#: Parts whose words make the lexicon, at most; how often one must occur in all documents.
+LEXICON_WORDS, LEAST_TIMES = 1 << 16, 4
 #: Distinct parts of texts whose ids a worker remembers.
 REMEMBERED = 2_000_000
 #: Words of up to so many bytes are merged many at a time.
@@ -269,12 +269,23 @@ def _counted(path: str):
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compiles the words of the `size` most frequent parts between white space, counted over all documents, with
-    their ids; gives the name of the shared file. The lexicon makes encoding quicker and changes no id."""
+    """Compiles the words of the most frequent parts between white space, counted over all documents, with their ids.
+
+    As many parts as fit into `size`, by classes of counts a twelfth apart, so that only these reach the driver.
+    Gives the name of the shared file. The lexicon makes encoding quicker and changes no id.
+    """
     spark, bpe = docs.sparkSession, word_bpe(path)
     bounded_arrow(spark)
     counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    parts = [bytes(r["part"]) for r in counts.orderBy(F.desc("n"), "part").limit(size).collect()]
+    counts = written(counts.filter(F.col("n") >= LEAST_TIMES).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "bpe-counts")
+    bins = sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True)  # some hundred rows
+    room, lowest = size, None
+    for k, many in bins:
+        room -= many
+        if room < 0:
+            break
+        lowest = k
+    parts = [] if lowest is None else [bytes(r["part"]) for r in counts.filter(F.col("bin") >= lowest).select("part").collect()]
     frequent = sorted({w for x in parts for w in bpe.split(x) if type(w) is bytes})
     return share(spark, "lexicon", build(frequent, bpe.merge(frequent)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, bpe, langid, mixing, sharding, tokenids, topk, toxicity
+from tracewell.llm import ann, bpe, langid, mixing, secrets, sharding, tokenids, topk, toxicity
 from tracewell.llm.shared import crc_remainder, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,24 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_digest(secrets.scan(docs, secrets.train(docs)))
+
+
+def secret_digest(found: DataFrame) -> DataFrame:
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind: str):
+        return F.filter("spans", lambda x: x["kind"] == kind)
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = joined(F.filter("spans", lambda x: x["kind"] != "crf"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch to Python; texts may be long.
@@ -88,11 +88,18 @@ def bounded_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
 
 
-def crc_remainder(doc_id) -> object:
+def crc_remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; 1 marks the held-out rows. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def hash_sample(df: DataFrame, key: Column, most: int, count: int, seed: str) -> DataFrame:
+    """About `most` of `count` rows, all if there are fewer: those whose hash falls below a bound. The same rows on each run."""
+    if count <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < F.lit(most * (1 << 40) // count))
+
+
 def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes together, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
