@@ -52,12 +52,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe.encode_decode(docs, path, bpe.build_lexicon(docs, path)))
 
 
-def bpe_digest(coded: DataFrame) -> DataFrame:
+def bpe_digest(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
@@ -115,3 +116,10 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -228,6 +228,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 
 def kept(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are their component's least id; those without words, or without an id, stay."""
+    """The documents that are their component's least id; those without words, or without an id, stay.
+
+    Rows that share an id stay or go together.
+    """
     out = near_duplicates(docs, width, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(out, docs[id_col] == out["__id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))

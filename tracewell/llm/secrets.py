@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+#: What stands for a secret that was taken out.
+MARK = "[secret]"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 HINTS = (b"passw", b"secret", b"token", b"api")
 
@@ -364,3 +366,40 @@ def scan(docs: DataFrame, field: str, id_col: str = "doc_id", text_col: str = "t
     bounded_arrow(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
+def redacted(docs: DataFrame, field: str, text_col: str = "text", length_col: str = "n_chars", mark: str = MARK) -> DataFrame:
+    """The rows with every span of their texts replaced by a mark; all columns stay, a column of lengths follows the text.
+
+    Spans that overlap are replaced as one. A null text stays null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                at = part.schema.get_field_index(text_col)
+                found = _field(field).spans(*text_bytes(part.column(at)))
+                if any(found):
+                    texts = part.column(at).to_pylist()
+                    for k, spans in enumerate(found):
+                        if spans:
+                            texts[k] = without(texts[k], spans, mark)
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                    if (n := part.schema.get_field_index(length_col)) >= 0:
+                        old = part.column(n).to_pylist()
+                        lengths = [len(texts[k]) if spans else old[k] for k, spans in enumerate(found)]
+                        part = part.set_column(n, part.schema.field(n), pa.array(lengths, part.schema.field(n).type))
+                yield part
+
+    bounded_arrow(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(text: str, spans: list[tuple[str, int, int]], mark: str = MARK) -> str:
+    """The text with each run of overlapping spans replaced."""
+    out, at = [], 0
+    for _, a, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
