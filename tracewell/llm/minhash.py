@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
@@ -23,6 +24,8 @@ BINS = BANDS * ROWS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 WIDTH = 5
+#: Sets of a block that are compared with those of another.
+BLOCK = 256
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -124,6 +127,58 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", both.alias("both"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b")).filter("100 * both >= %d * (n_a + n_b - both)" % PERCENT).select("a", "b")
 
 
+def linked(c: np.ndarray, component: np.ndarray, outside: np.ndarray, offsets: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the sets `outside` (a mask) with the others, one for each set and other component: whole sets compared.
+
+    The sets lie end to end. Each outside set marks its items in a table; a sum over the marks of all items gives
+    its intersections with all sets at once.
+    """
+    codes, _ = pd.factorize(items)
+    size, out = np.diff(offsets), []
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    for k in np.flatnonzero(outside).tolist():
+        own = codes[offsets[k] : offsets[k + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[codes], offsets[:-1], dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero((100 * both >= PERCENT * (size + size[k] - both)) & (component != component[k]))
+        if len(near):
+            near = near[np.unique(component[near], return_index=True)[1]]
+            out += [(min(int(c[k]), int(c[i])), max(int(c[k]), int(c[i]))) for i in near.tolist()]
+    return out
+
+
+def _linked_block(table: pa.Table) -> pa.Table:
+    """Links of one block: rows of outside classes beside rows of members; a class may be both."""
+    table = table.sort_by([("c", "ascending"), ("outside", "descending")]).combine_chunks()
+    c, outside = table.column("c").to_numpy(), table.column("outside").to_numpy(zero_copy_only=False)
+    keep = np.ones(len(c), bool)
+    keep[1:] = c[1:] != c[:-1]  # a class that is both stands as outside
+    rows = np.flatnonzero(keep)
+    items = table.column("items").chunk(0)
+    begins = np.asarray(items.offsets).astype(np.int64)
+    lengths = np.diff(begins)[rows]
+    flat = np.asarray(items.values)[words.gather(begins[:-1][rows], lengths)]
+    pairs = linked(c[rows], table.column("component").to_numpy()[rows], outside[rows], np.concatenate(([0], np.cumsum(lengths))), flat)
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _checked_blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b between the members of a bucket outside its main component and all its members.
+
+    A bucket's members fall by a hash into blocks of about BLOCK, and so do those outside; each pair of blocks is a
+    group of its own, so a bucket of any size is many groups.
+    """
+    columns = ["bucket", "c", "component"]
+    left = left.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "others": F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")})
+    place = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = left.select(*columns, F.lit(False).alias("outside"), place("blocks").alias("m"), every("others").alias("o"))
+    outside = left.filter("component <> main").select(*columns, F.lit(True).alias("outside"), place("others").alias("o"), every("blocks").alias("m"))
+    rows = inside.unionByName(outside).join(sets, "c")
+    return rows.groupBy("bucket", "m", "o").applyInArrow(_linked_block, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, component (the least node reachable) of every node that has an edge a, b.
 
@@ -147,9 +202,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     Texts with equal shingle sets are one class and stand under one number. Classes that share a band of their
     sketches are candidates. Within such a bucket pairs are not all made: its members are checked against its first
-    member; if all are then in one component it is done. Else the members left are checked against the next ones,
-    twice as many in each round, until each pair of a bucket has been checked or is linked already. A check compares
-    the full sets. Nothing is capped; a bucket of any size goes through grouped sums and joins that may be split.
+    member; if all are then in one component it is done. Else those outside its largest component are checked
+    against all its members, in blocks of BLOCK by BLOCK, and only links come out. So each pair of a bucket has been
+    checked or is linked already. A check compares the full sets. Nothing is capped or dropped.
 
     component_id is the least id reachable over links, the row's own included. Texts without words, and null texts,
     link with nothing: their component is their own id. So is a row with a null id: its component is null. Rows with
@@ -205,18 +260,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     first = members.filter("c <> lead").groupBy(F.col("c").alias("b")).agg(F.min("lead").alias("a"))
     check(apart(first), "0")
     check(apart(members.select(F.col("lead").alias("a"), F.col("c").alias("b"))), "1")
-    # buckets whose other members are in several components yet
-    left, leads, step = members.filter("c <> lead").select("bucket", "c"), 1, 2
-    while True:
-        spread = labelled(left).groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = written(left.join(spread.select("bucket"), "bucket", "left_semi"), f"near-left-{step}")
-        if left.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("c"))
-        heads = written(left.withColumn("place", place).filter(F.col("place") <= leads).select("bucket", F.col("c").alias("a")), f"near-heads-{step}")
-        check(apart(left.select("bucket", F.col("c").alias("b")).join(heads, "bucket")), str(step))
-        left = left.join(heads.withColumnRenamed("a", "c"), ["bucket", "c"], "left_anti")
-        leads, step = 2 * leads, step + 1
+    # buckets whose other members are in several components yet: what is outside the largest one against all others
+    left = labelled(members.filter("c <> lead").select("bucket", "c"))
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("own"))
+    spread = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("own").alias("size"), F.max("own").alias("most"), F.max_by("component", F.struct("own", "component")).alias("main")).filter("kinds > 1")
+    left = written(left.join(spread.drop("kinds"), "bucket"), "near-left")
+    if not left.isEmpty():
+        new = written(_checked_blocks(left, sets), "near-links-2")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, "near-2")
 
     named = labelled(classes.select("c", *key, "least"))
     component = F.min("least").alias("component_id")
