@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, hash_sample, share, text_bytes
+from tracewell.llm.shared import blocks, bounded_arrow, fitted, hash_sample, share, text_bytes
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns of the first three kinds, and how long a match, or its value, must be.
@@ -336,8 +336,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     """Learns from about SAMPLE_DOCS documents of `most_chars` characters at most, drawn by a hash of the id; gives the
     field's shared name. The fixed patterns' matches and made-up secrets are its labels."""
     rows = hash_sample(docs, F.col(id_col), SAMPLE_DOCS, docs.count(), "secrets").filter(F.length(text_col) <= most_chars)
-    texts = sorted((r[0], r[1]) for r in rows.select(F.xxhash64(F.col(id_col), F.lit("order")), text_col).collect())
-    return share(docs.sparkSession, "secrets", learned([t for _, t in texts]).dump())
+    rows = rows.select(F.xxhash64(F.col(id_col), F.lit("order")).alias("dice"), F.col(text_col).alias("text"))
+
+    def fit(table: pa.Table) -> bytes:
+        return learned(table.sort_by([("dice", "ascending"), ("text", "ascending")]).column("text").to_pylist()).dump()
+
+    return share(docs.sparkSession, "secrets", fitted(rows, fit))
 
 
 @functools.cache

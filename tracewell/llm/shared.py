@@ -9,13 +9,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch to Python; texts may be long.
 ARROW_ROWS = 1000
@@ -81,6 +82,17 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(_put(spark, name, held.getvalue()))
 
 
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:
+    """What `fit` makes of a bounded sample, in one task of an executor: the driver gets the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([fit(pa.Table.from_batches(list(batches), schema))], pa.binary())], ["model"])
+
+    bounded_arrow(sample.sparkSession)
+    schema = to_arrow_schema(sample.schema)
+    return bytes(sample.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+
+
 def bounded_arrow(spark: SparkSession) -> None:
     """Bounds the rows, and so the bytes, that one Arrow batch brings to a Python worker, which gets this package."""
     ship(spark)
