@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,14 +26,4 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-@query(
-    "metrics_by_tool",
-    """SELECT event_type AS tool, COUNT(*) AS calls, COUNT(*) FILTER (event_type = 'error') AS errors
-       FROM events GROUP BY 1""",
-)
-def metrics_by_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("tool"))
-        .agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    )
+from tracewell.plans import queries  # noqa: E402,F401  (registers them)

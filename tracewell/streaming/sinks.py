@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def event_sink(events: DataFrame, path: str, checkpoint: str, every: str | None = "100 milliseconds", late: str = "1 hour") -> StreamingQuery:
     """Appends a stream of events to Parquet, an event id once. Without `every` it takes what is there and ends."""
-    once = events.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     writer = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
@@ -66,4 +66,4 @@ def visits(reads: DataFrame) -> DataFrame:
 
 def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
     """An extension: calls of each tool by day, with a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "tool").agg(F.count("*").alias("calls")).select(F.col("day.start").alias("day"), "tool", "calls")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "tool").agg(F.count("*").alias("calls")).select(F.col("day.start").alias("day"), "tool", "calls")
