@@ -205,7 +205,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memory, self.lists = words.Memory(REMEMBERED + (1 << 20)), words.Ragged(np.int32)
+        self.memory, self.lists = words.Memory(REMEMBERED), words.Ragged(np.int32)
 
     def words(self, parts: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct words."""

@@ -126,7 +126,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
 
 
 def mixed(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Joined by id: for unique ids."""
-    copies = mix.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    out = docs.join(copies, F.col(id_col) == F.col("__id")).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return out.drop("__id", "__copies", "__nth")
+    """The documents themselves, each as often as the mix takes it. Joined by id: for unique ids that aren't null."""
+    copies = mix.filter("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__mix_copies"))
+    joined = docs.join(copies, docs[id_col] == copies["__mix_id"])
+    return joined.withColumn("__mix_n", F.explode("__mix_copies")).select(*docs.columns)

@@ -373,7 +373,7 @@ def scan(docs: DataFrame, field: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def redacted(docs: DataFrame, field: str, text_col: str = "text", length_col: str = "n_chars", mark: str = MARK) -> DataFrame:
-    """The rows with every span of their texts replaced by a mark; all columns stay, a column of lengths follows the text.
+    """The rows with every span of their texts replaced by a mark; all columns stay, an integer column of lengths follows the text.
 
     Spans that overlap are replaced as one. A null text stays null.
     """
@@ -389,7 +389,8 @@ def redacted(docs: DataFrame, field: str, text_col: str = "text", length_col: st
                         if spans:
                             texts[k] = without(texts[k], spans, mark)
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                    if (n := part.schema.get_field_index(length_col)) >= 0:
+                    n = part.schema.get_field_index(length_col)
+                    if n >= 0 and pa.types.is_integer(part.schema.field(n).type):
                         old = part.column(n).to_pylist()
                         lengths = [len(texts[k]) if spans else old[k] for k, spans in enumerate(found)]
                         part = part.set_column(n, part.schema.field(n), pa.array(lengths, part.schema.field(n).type))

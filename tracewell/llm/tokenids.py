@@ -132,7 +132,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memory, self.lists = words.Memory(REMEMBERED + (1 << 20)), words.Ragged(np.uint32)
+        self.memory, self.lists = words.Memory(REMEMBERED), words.Ragged(np.uint32)
         if self.pieces:  # number 0 is the line feed
             self.memory.add(np.zeros((1, 2), np.uint64))
             self.lists.add(np.array([self.line], np.uint32), np.array([1]))

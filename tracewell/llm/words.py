@@ -105,11 +105,14 @@ def _firsts(codes: np.ndarray) -> np.ndarray:
 class Memory:
     """Numbers distinct words in the order in which they were added, by their keys: an open hash table in arrays."""
 
-    def __init__(self, most: int):
-        self.most, self.count = most, 0
+    def __init__(self, expected: int = 0):
+        self.count, self.keys = 0, np.zeros((1 << 10, 2), np.uint64)
+        self._room(expected)
+
+    def _room(self, most: int) -> None:
+        """Empty slots for so many words, half as many again at least."""
         self.mask = (1 << max(8, (3 * most // 2).bit_length())) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
-        self.keys = np.zeros((1 << 10, 2), np.uint64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where it is unknown."""
@@ -124,20 +127,27 @@ class Memory:
         return out
 
     def add(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers for words that are distinct and unknown."""
+        """Numbers for words that are distinct and unknown. The table grows with them."""
         to = self.count + len(keys)
         while to > len(self.keys):
             self.keys = np.concatenate((self.keys, np.zeros_like(self.keys)))
         self.keys[self.count : to] = keys
         numbers = np.arange(self.count, to)
-        left, slot = numbers, (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        self.count = to
+        if 3 * to > 2 * len(self.slots):
+            self._room(2 * to)
+            self._place(np.arange(to))
+        else:
+            self._place(numbers)
+        return numbers
+
+    def _place(self, numbers: np.ndarray) -> None:
+        left, slot = numbers, (self.keys[numbers, 0] & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = left[free]  # of several for one slot the last stays
             on = self.slots[slot] != left
             left, slot = left[on], (slot[on] + 1) & self.mask
-        self.count = to
-        return numbers
 
 
 class Ragged:
