@@ -109,3 +109,24 @@ def test_sources(spark, tmp_path):
     texts = source_files.contents(spark, str(tmp_path), tracked).join(tracked.select("path", "language"), "path")
     got = {(r["path"], r["kind"], r["name"]) for r in source_files.symbols(texts).collect()}
     assert got == {("src/a.py", "import", "os"), ("src/a.py", "class_declaration", "A"), ("src/a.py", "function_definition", "f"), ("src/a.py", "call", "os.getcwd"), ("src/b.rs", "function_item", "run"), ("src/b.rs", "import", "x::y")}
+
+
+def test_reads_and_store(spark, tmp_path):
+    from tracewell.operators import reads
+    from tracewell.sources import store
+
+    text = F.lit("a\nb\nc")
+    assert one(spark, reads.excerpt(text, 2, 9, numbered=True), reads.excerpt(text, 3), reads.token_counter()(text)) == ["2: b\n3: c", "c", 5]
+    assert one(spark, reads.run_text(F.lit("x"), F.lit(2)), reads.absolute(F.lit("a"), F.lit("/r/")), reads.simple_query(F.lit("a.*"))) == ["x\nexit code: 2", "/r/a", False]
+    runs = spark.createDataFrame([("1", b"abcdef", None, 0, True)], "run_id string, stdout binary, stderr binary, exit_code int, timed_out boolean")
+    r = store.captured(runs, 4).first()
+    assert (r["stdout"], r["stderr"], r["exit_code"], r["raw_output_complete"], r["capture"]["stdout_bytes"]) == ("abcd", "", 124, False, 6)
+    rows = lambda p, n: spark.createDataFrame([(p, i) for i in range(n)], "project_id int, id int")
+    root = str(tmp_path / "graph")
+    store.write_project({k: rows(1, 3).union(rows(2, 2)) for k in store.GRAPH_TABLES}, root)
+    store.write_project({k: rows(1, 1) for k in store.GRAPH_TABLES}, root)
+    assert store.read_graph(spark, root, 1)["nodes"].count() == 1 and store.read_graph(spark, root)["nodes"].count() == 3
+    path = str(tmp_path / "t")
+    store.swap(rows(1, 3), path)
+    store.swap(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
