@@ -26,7 +26,7 @@ from tracewell.llm.transducer import Lexicon, build, open_lexicon
 #: Parts whose words make the lexicon, at most; how often one must occur in all documents.
 LEXICON_WORDS, LEAST_TIMES = 1 << 16, 4
 #: Distinct parts of texts whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 #: Words of up to so many bytes are merged many at a time.
 SHORT = 40
 NEVER = np.int32(2**31 - 1)

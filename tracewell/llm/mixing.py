@@ -80,7 +80,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     copy are p = t - floor(t). For these, documents stand by their random odds over inclusion odds,
     (u / (1 - u)) / (p / (1 - p)), u from a hash of seed and id, and the first ones that together have the open
     number of words are taken: a sample of fixed size. What the first document that does not fit leaves open goes
-    to the next ones that do, FILLS times.
+    to the next ones that do, FILLS times, and at last to one more document if that comes nearer to the target.
 
     Returns doc_id, source, size (words), source_size, target, copies, taken (words, repeats counted).
     Nulls: a null text has no words, a null source is the last source, a null id has a rank like any other. Rows
@@ -110,10 +110,16 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
         fitted = written(_fit(rows, room, small), f"mix-fit-{k}")
         more = fitted.filter("fits")
         taken = more if taken is None else taken.unionByName(more)
-        if k < FILLS:
+        if k == 0:
+            beyond = fitted.filter("not fits").drop("fits")
+        if k <= FILLS:
             used = more.groupBy("source").agg(F.sum("size").alias("used"))
             room = written(_with(room, used.withColumnRenamed("source", "source"), small).select("source", (F.col("room") - F.col("used")).alias("room")).unionByName(room.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left_anti").select("source", "room")), f"mix-room-{k}")
             rows = _with(fitted.filter("not fits"), room, small).filter("size > 0 and size <= room").select("doc_id", "source", "size", "rank")
+    # one more for each source if that comes nearer to its target than none
+    near = _with(beyond.join(taken.select("doc_id", "rank"), ["doc_id", "rank"], "left_anti"), room, small).filter("size > 0 and size < 2 * room")
+    last = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "size", "rank"), F.struct(F.abs(F.col("size") - F.col("room")), "rank", "doc_id", "size")).alias("last"))
+    taken = taken.drop("fits").unionByName(last.select("last.doc_id", "source", "last.size", "last.rank"))
     extra = taken.select("doc_id", "source", "size", F.lit(1).alias("extra"))
     # every row once with its whole copies, the sampled rows once more
     n = F.sum("extra")

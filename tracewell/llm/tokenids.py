@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 20
 #: Ids that a file has on average, at most.
 FILE_IDS = 1 << 24
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 # ---- the code ----
 

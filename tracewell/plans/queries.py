@@ -167,7 +167,7 @@ def fts_weighted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.search(*_indexed(spark, sf_dir, ["text", "source"]), "src1 AKIA", {"text": 1.0, "source": 5.0}, 30), "score")
 
 
-@query("fts_search_stats", f"WITH hit AS ({_bm25(['passw', 'tok'], {'text': 1.0}, 20)}) SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS token_count, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes FROM documents WHERE doc_id IN (SELECT key FROM hit)")
+@query("fts_search_stats", f"WITH hit AS ({_bm25(['passw', 'tok'], {'text': 1.0}, 20)}) SELECT count(*) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS token_count, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS size_bytes FROM documents WHERE doc_id IN (SELECT key FROM hit)")
 def fts_search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search(*_indexed(spark, sf_dir, ["text"]), "passw tok", {"text": 1.0}, 20)
     files = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("token_count"), F.octet_length("text").alias("size_bytes"))
