@@ -352,6 +352,14 @@ def test_base_spans_and_hints():
     assert all(h or not brute_base(t) for t, h in zip(texts, hints))
 
 
+def test_hints_that_straddle_texts():
+    for hint in ("passw", "secret", "token", "api", "AKIA"):
+        for k in range(1, len(hint)):
+            texts = [f"on the {hint[:k]}", f"{hint[k:]} a day", "", hint[:k], hint[k:], "plain", f"x {hint} y"]
+            assert secrets.hinted(*text_bytes(pa.array(texts))).tolist() == [False] * 6 + [True]
+            assert secrets.hinted(*text_bytes(pa.array(texts[3:]))).tolist() == [False] * 3 + [True]
+
+
 def test_pruned_decoding_is_viterbi():
     field, dice = secrets.Field(), np.random.default_rng(1)
     field.moves = dice.normal(0, 1, (3, 3))

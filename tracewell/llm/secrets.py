@@ -73,8 +73,8 @@ def hinted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = held.find(hint)
         while at >= 0:
             k = int(np.searchsorted(offsets, at, "right")) - 1
-            out[k] = True
-            at = held.find(hint, int(offsets[k + 1]) - len(hint) + 1)  # on with the next text
+            out[k] |= at + len(hint) <= int(offsets[k + 1])  # not if the next text completes it
+            at = held.find(hint, int(offsets[k + 1]))  # on with the next text
     ends = np.flatnonzero(~HEXADECIMAL[data])
     gaps = np.diff(np.concatenate(([-1], ends, [len(data)]))) - 1
     long = np.flatnonzero(gaps >= LEAST["hex"])
