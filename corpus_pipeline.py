@@ -29,6 +29,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks for."""
+    docs = mixing.keyed(docs)
     return mixing.mixed(docs, mixing.pareto_mix(docs))
 
 

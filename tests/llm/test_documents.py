@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.llm.conftest import SF
 from tracewell.llm import bpe, catalog, langid, minhash, mixing, secrets, sharding, tokenids, toxicity, transducer, words
 from tracewell.llm.shared import crc_remainder, text_bytes, work_folder
@@ -257,6 +258,28 @@ def test_mix_of_odd_tables(spark, odd_docs, no_docs):
     assert mixing.mixed(odd_docs, mix).columns == odd_docs.columns
 
 
+def test_mix_takes_rows_of_null_and_repeated_ids(spark):
+    ids = [None] * 40 + [7] * 40 + list(range(100, 140))
+    rows = [(x, f"{i} " + "w " * (i % 5), None if i % 7 == 0 else "abc"[i % 3]) for i, x in enumerate(ids)]
+    docs = mixing.keyed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    mix = mixing.pareto_mix(docs)
+    got, plan = mixing.mixed(docs, mix).collect(), mix.toPandas()
+    assert len(plan) == len(rows) and plan[mixing.KEY].is_unique
+    copies = dict(zip((r["text"] for r in docs.sort(mixing.KEY).collect()), plan.sort_values(mixing.KEY).copies))
+    assert copies.keys() == {r[1] for r in rows}  # each text stands on one row
+    assert sorted(map(tuple, got), key=str) == sorted((r for r in rows for _ in range(copies[r[1]])), key=str)
+    for source, part in plan.groupby(plan.source.fillna("")):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 5
+        assert sum(len(r["text"].split()) for r in got if (r["source"] or "") == source) == part.taken.sum()
+
+
+def test_pipeline_mix_of_one_source_is_every_row(spark):
+    rows = [(None, "a b", "s", 3), (None, "c", "s", 1), (5, "d e", "s", 3), (5, "d e", "s", 3), (5, "f", "s", 1), (6, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = corpus_pipeline.mixed_sources(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_inclusion_follows_the_odds(spark):
     docs = spark.createDataFrame([(i, "w", "a" if i % 4 else "b") for i in range(2000)], "doc_id long, text string, source string")
     out = mixing.pareto_mix(docs, weights=(1, 1)).toPandas()

@@ -17,6 +17,8 @@ BINS = 4096
 FILLS = 3
 #: Tables of sources up to so many rows are broadcast; larger ones are joined by exchange.
 BROADCAST_ROWS = 50_000
+#: Name of the column that tells rows apart.
+KEY = "__mix_row"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,11 +55,12 @@ def _with(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
 
 
 def _fit(rows: DataFrame, room: DataFrame, small: bool) -> DataFrame:
-    """Of each source the first rows by rank whose words fit into its room: rank, doc_id, size, source.
+    """Of each source the first rows by rank whose words fit into its room: the rows' columns and `fits`.
 
     A histogram of the ranks finds the bin that holds the cut; only that bin's rows are ordered, so no source
     however large meets in one task.
     """
+    columns = rows.columns
     rows = rows.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
     fill = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
@@ -65,11 +68,11 @@ def _fit(rows: DataFrame, room: DataFrame, small: bool) -> DataFrame:
     cut = fill.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("run") - F.col("words")).alias("sure")), "bin").alias("cut"))
     # a source without a cut fits as a whole
     binned = rows.join(F.broadcast(cut.withColumnRenamed("source", "__source")) if small else cut.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    sure = binned.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin"))).select("doc_id", "source", "size", "rank", F.lit(True).alias("fits"))
+    sure = binned.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin"))).select(*columns, F.lit(True).alias("fits"))
     edge = _with(binned.filter(F.col("bin") == F.col("cut.bin")), room, small)
-    upto = F.col("cut.sure") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", upto).select("doc_id", "source", "size", "rank", (F.col("upto") <= F.col("room")).alias("fits"))
-    rest = binned.filter(F.col("bin") > F.col("cut.bin")).select("doc_id", "source", "size", "rank", F.lit(False).alias("fits"))
+    upto = F.col("cut.sure") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size", *[c for c in columns if c == KEY]).rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("upto", upto).select(*columns, (F.col("upto") <= F.col("room")).alias("fits"))
+    rest = binned.filter(F.col("bin") > F.col("cut.bin")).select(*columns, F.lit(False).alias("fits"))
     return sure.unionByName(edge).unionByName(rest)
 
 
@@ -82,19 +85,22 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     number of words are taken: a sample of fixed size. What the first document that does not fit leaves open goes
     to the next ones that do, FILLS times, and at last to one more document if that comes nearer to the target.
 
-    Returns doc_id, source, size (words), source_size, target, copies, taken (words, repeats counted).
+    Returns doc_id, source, size (words), source_size, target, copies, taken (words, repeats counted), and the row
+    key of documents that have one: then the copies are those of that very row.
     Nulls: a null text has no words, a null source is the last source, a null id has a rank like any other. Rows
     with equal ids get the same rank and each counts; a source without words has target 0. An empty table gives no
     rows. Other columns are not read.
     """
+    key = [KEY] if KEY in docs.columns else []
     sizes = docs.select(
+        *key,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("digest"),
     )
     u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    sizes = written(sizes.select("doc_id", "source", "size", u.alias("u")), "mix-sizes")
+    sizes = written(sizes.select(*key, "doc_id", "source", "size", u.alias("u")), "mix-sizes")
     targets = written(source_targets(sizes, weights), "mix-targets")
     small = targets.count() <= BROADCAST_ROWS
 
@@ -104,7 +110,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     plan = plan.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
     ranked = _with(sizes, plan.select("source", "odds", F.col("open").alias("room")), small).filter("odds > 0")
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") / (1 - F.col("odds")))
-    rows = ranked.select("doc_id", "source", "size", (q / (1 + q)).alias("rank"))
+    rows = ranked.select(*key, "doc_id", "source", "size", (q / (1 + q)).alias("rank"))
     room, taken = plan.filter("odds > 0").select("source", F.col("open").alias("room")), None
     for k in range(1 + FILLS):
         fitted = written(_fit(rows, room, small), f"mix-fit-{k}")
@@ -115,24 +121,34 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
         if k <= FILLS:
             used = more.groupBy("source").agg(F.sum("size").alias("used"))
             room = written(_with(room, used.withColumnRenamed("source", "source"), small).select("source", (F.col("room") - F.col("used")).alias("room")).unionByName(room.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left_anti").select("source", "room")), f"mix-room-{k}")
-            rows = _with(fitted.filter("not fits"), room, small).filter("size > 0 and size <= room").select("doc_id", "source", "size", "rank")
+            rows = _with(fitted.filter("not fits"), room, small).filter("size > 0 and size <= room").select(*key, "doc_id", "source", "size", "rank")
     # one more for each source if that comes nearer to its target than none
-    near = _with(beyond.join(taken.select("doc_id", "rank"), ["doc_id", "rank"], "left_anti"), room, small).filter("size > 0 and size < 2 * room")
-    last = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "size", "rank"), F.struct(F.abs(F.col("size") - F.col("room")), "rank", "doc_id", "size")).alias("last"))
-    taken = taken.drop("fits").unionByName(last.select("last.doc_id", "source", "last.size", "last.rank"))
-    extra = taken.select("doc_id", "source", "size", F.lit(1).alias("extra"))
+    near = _with(beyond.join(taken.select(*(key or ["doc_id", "rank"])), key or ["doc_id", "rank"], "left_anti"), room, small).filter("size > 0 and size < 2 * room")
+    last = near.groupBy("source").agg(F.min_by(F.struct(*key, "doc_id", "size", "rank"), F.struct(F.abs(F.col("size") - F.col("room")), "rank", "doc_id", "size", *key)).alias("last"))
+    taken = taken.drop("fits").unionByName(last.select(*[f"last.{k}" for k in key], "last.doc_id", "source", "last.size", "last.rank"))
+    extra = taken.select(*key, "doc_id", "source", "size", F.lit(1).alias("extra"))
     # every row once with its whole copies, the sampled rows once more
     n = F.sum("extra")
-    merged = sizes.select("doc_id", "source", "size", F.lit(0).alias("extra"), F.lit(1).alias("one")).unionByName(extra.withColumn("one", F.lit(0)))
-    per = merged.groupBy("doc_id", "source", "size").agg(n.alias("extra"), F.sum("one").alias("rows"))
-    each = per.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"), "extra")
+    merged = sizes.select(*key, "doc_id", "source", "size", F.lit(0).alias("extra"), F.lit(1).alias("one")).unionByName(extra.withColumn("one", F.lit(0)))
+    per = merged.groupBy(*key, "doc_id", "source", "size").agg(n.alias("extra"), F.sum("one").alias("rows"))
+    each = per.select(*key, "doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"), "extra")
     out = _with(each, plan, small)
     copies = (F.col("whole") + (F.col("nth") <= F.col("extra")).cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return out.select(*key, "doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a row key, written, so that the key stays."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "mix-keyed")
 
 
 def mixed(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Joined by id: for unique ids that aren't null."""
-    copies = mix.filter("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__mix_copies"))
-    joined = docs.join(copies, docs[id_col] == copies["__mix_id"])
-    return joined.withColumn("__mix_n", F.explode("__mix_copies")).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it, without their row key.
+
+    keyed() documents and their mix meet row by row: null and repeated ids are rows like any other. Without keys
+    they meet by id, which must then be unique and not null.
+    """
+    by, of = (KEY, KEY) if KEY in docs.columns and KEY in mix.columns else (id_col, "doc_id")
+    copies = mix.filter("copies > 0").select(F.col(of).alias("__mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__mix_copies"))
+    joined = docs.join(copies, docs[by] == copies["__mix_id"])
+    return joined.withColumn("__mix_n", F.explode("__mix_copies")).select(*[c for c in docs.columns if c != KEY])
