@@ -317,6 +317,18 @@ def test_language_of_odd_tables(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, langid.train(no_docs, learn)).collect()} == {"und"}
 
 
+def test_language_is_learned_behind_a_shared_header(spark):
+    dice = random.Random(6)
+    words = {"aa": ["berg", "strasse", "ungeheuer", "zwischen", "wolke"], "bb": ["colline", "rue", "monstre", "entre", "nuage"]}
+    text = lambda lang, n: " ".join(dice.choice(words[lang]) for _ in range(n))
+    header = "This page is free for all to copy. " * 20
+    rows = [(2 * i + k, (header if i % 2 else "0 1 2 3 " * 100) + text(lang, 400), lang) for i in range(40) for k, lang in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, text("ab"[i % 2] * 2, 12), "ab"[i % 2] * 2) for i in range(20)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert [r["lang_pred"] for r in langid.predict(asked, model).sort("doc_id").collect()] == ["aa", "bb"] * 10
+
+
 def toxic_sample(n=900):
     dice = random.Random(4)
     texts, labels, langs = [], [], []

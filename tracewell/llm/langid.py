@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.shared import blocks, bounded_arrow, share, text_bytes
 
-#: Bounds of the training sample for each language: documents, bytes taken of each; of how many one goes to the own rate, with so many bytes.
+#: Bounds of the training sample for each language: documents, bytes taken of each; of how many one goes to the own rate, with so many characters.
 SAMPLE_DOCS, TRAIN_BYTES, RATE_EVERY, RATE_BYTES = 320, 120, 4, 600
 #: Bytes after which a parse starts anew, so that parts of long texts run side by side.
 STRETCH = 256
@@ -27,6 +27,8 @@ SHARPNESS = 25.0
 UNKNOWN = "und"
 #: Symbols: 0 white (all ASCII but letters, runs as one), 1 to 26 letters in lower case, 27 to 154 bytes from 0x80, 155 the end of a training text.
 WHITE, END, SYMBOLS = 0, 155, 156
+#: Runs of white, of which a parse sees one symbol.
+WHITES = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[0x41:0x5B] = SYMBOL[0x61:0x7B] = np.arange(1, 27)
 SYMBOL[0x80:] = np.arange(27, 155)
@@ -167,19 +169,27 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Learns from the rows for which `learn` holds and whose text and language aren't null; gives the model's shared name.
 
     The sample is bounded for each language by SAMPLE_DOCS documents, the first ones by a hash of the
-    id, and the bytes taken of each. Only the sample comes to the driver.
+    id, and the bytes taken of each, from a hashed place of the whole text. Only the sample comes to the driver.
     """
     spark = docs.sparkSession
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, RATE_BYTES).alias("head"), F.xxhash64(F.col(id_col), F.lit("langid")).alias("dice")).filter(F.col("head").rlike(r"\p{L}"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "head"))
-    sample = rows.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select("lang", "place", "head").collect()
+    rows = rows.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.regexp_replace(F.col(text_col), WHITES, " ").alias("text"), F.xxhash64(F.col(id_col), F.lit("langid")).alias("dice"))
+
+    def cut(text: Column, length: Column, most: int) -> Column:
+        """So much of a text from a place that its hash draws; short ones whole."""
+        first = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(length - most + 1, F.lit(1)).cast("long")) + 1
+        return F.substring(text, first.cast("int"), F.lit(most))
+
+    raw = F.col("text").cast("binary")
+    rows = rows.select("lang", "dice", cut(raw, F.octet_length("text"), TRAIN_BYTES).alias("part"), cut(F.col("text"), F.length("text"), RATE_BYTES).alias("passage"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "passage", "part"))
+    sample = rows.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select("lang", "place", "part", "passage").collect()
     texts: dict[str, list] = {}
     apart: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["place"])):
-        raw = r["head"].encode()
         trained = r["place"] % RATE_EVERY != 0
-        data = np.frombuffer(raw[:TRAIN_BYTES] if trained else raw, np.uint8)
+        data = np.frombuffer(bytes(r["part"]) if trained else r["passage"].encode(), np.uint8)
+        data = data[np.cumsum((data & 0xC0) != 0x80) > 0]  # a character cut in front tells nothing
         texts.setdefault(r["lang"], [])
         apart.setdefault(r["lang"], [])
         (texts if trained else apart)[r["lang"]].append(symbols(data, np.array([0, len(data)]))[0])
