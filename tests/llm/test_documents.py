@@ -395,6 +395,16 @@ def test_hints_that_straddle_texts():
             assert secrets.hinted(*text_bytes(pa.array(texts[3:]))).tolist() == [False] * 3 + [True]
 
 
+def test_field_spans_beyond_a_pattern_stay():
+    field, text = secrets.Field(), "é password=Sup3rSecr$tTail9xQ end"
+    for tags, more in (([0, 0, 1, 2, 0], [("crf", 11, 29)]), ([0, 0, 1, 0, 0], []), ([0, 1, 2, 1, 0], [("crf", 21, 29)])):
+        field.decode = lambda scores, before, tags=tags: np.array(tags, np.uint8)
+        assert field.spans(*text_bytes(pa.array([text]))) == [[("assign", 2, 20), *more]]
+    field.decode = lambda scores, before: np.array([0, 0, 1, 2, 0], np.uint8)
+    assert secrets.without(text, field.spans(*text_bytes(pa.array([text])))[0]) == "é [secret] end"
+    assert secrets.covered(2, 9, [("hex", 0, 5), ("hex", 5, 9)]) and not secrets.covered(2, 9, [("hex", 0, 5), ("hex", 6, 9)])
+
+
 def test_pruned_decoding_is_viterbi():
     field, dice = secrets.Field(), np.random.default_rng(1)
     field.moves = dice.normal(0, 1, (3, 3))

@@ -63,6 +63,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def covered(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, sorted by begin, cover all of a to b."""
+    for _, x, y in spans:
+        if x <= a:
+            a = max(a, y)
+    return a >= b
+
+
 def hinted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which texts may hold a fixed pattern: a word of the assignments, an access prefix, a run of hexadecimal digits."""
     out = np.zeros(len(offsets) - 1, bool)
@@ -234,7 +242,7 @@ class Field:
         return out
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[str, int, int]]]:
-        """All spans of each text in code points: the fixed patterns' and, where none of these overlaps, the field's."""
+        """All spans of each text in code points: the fixed patterns' and those of the field's that these don't cover wholly."""
         out: list[list] = [[] for _ in range(len(offsets) - 1)]
         raw = data.tobytes()
         for k in np.flatnonzero(hinted(data, offsets)).tolist():
@@ -256,7 +264,7 @@ class Field:
         for k, i, j in runs:
             start = points[offsets[k]]
             a, b = int(points[begins[i]] - start), int(points[ends[j]] - start)
-            if not any(x < b and a < y for _, x, y in out[k]):
+            if not covered(a, b, out[k]):
                 found.setdefault(k, []).append(("crf", a, b))
         for k, more in found.items():
             out[k] = sorted(out[k] + more, key=lambda x: (x[1], KINDS.index(x[0])))
