@@ -191,6 +191,12 @@ def test_near_duplicates_of_odd_tables(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] or -1 for r in minhash.kept(odd_docs).collect()) == [-1, 1, 2, 3, 5, 5, 5, 6, 7, 9]
 
 
+def test_rows_of_null_and_repeated_ids_are_judged_by_their_text(spark):
+    rows = [(1, "a b c"), (5, "a b c"), (5, "other words here"), (None, "a b c"), (None, "only null"), (None, "only null"), (None, "alone"), (None, ""), (None, None), (9, "other words here")]
+    got = minhash.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[k] for k in (0, 2, 4, 6, 7, 8)], key=str)
+
+
 # ---- sharding and mixing ----
 
 

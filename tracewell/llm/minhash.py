@@ -281,9 +281,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 
 def kept(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are their component's least id; those without words, or without an id, stay.
+    """The documents that have their component's least id; those without words stay.
 
-    Rows that share an id stay or go together.
+    Each row is judged by its own text, under a row key in place of its id. A null id is above all others; of a
+    component without any other id the first row stays. Rows of one component that share its least id all stay.
     """
-    out = near_duplicates(docs, width, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs[id_col] == out["__id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    row = "__near_row"
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-keyed")
+    found = written(near_duplicates(docs, width, row, text_col).withColumnRenamed("doc_id", row), "near-found")
+    member = found.filter("n_shingles > 0").join(docs.select(row, F.col(id_col).alias("id")), row)
+    best = member.groupBy("component_id").agg(F.min("id").alias("least"), F.min(row).alias("first")).withColumnRenamed("component_id", "of")
+    # by component and id, so that a large component meets in many tasks
+    best = member.join(best, (F.col("component_id") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).filter(F.col("least").isNotNull() | (F.col(row) == F.col("first")))
+    stay = best.select(row).unionByName(found.filter("n_shingles = 0").select(row))
+    return docs.join(stay, row, "left_semi").select(*[c for c in docs.columns if c != row])
