@@ -463,6 +463,48 @@ def test_redaction(spark, odd_docs, no_docs):
     assert secrets.redacted(no_docs, secrets.train(no_docs)).count() == 0
 
 
+def confusing(letters):
+    """Two words of so many letters that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096, 65536])
+def test_confusing_words_are_told_apart(letters):
+    texts = [f"x {w}" for w in confusing(letters)] + ["x " + "q" * 15, "x " + "q" * 16, "x q"]
+    data, offsets = text_bytes(pa.array(texts))
+    begins, ends, _ = words.spans(data, offsets)
+    codes, _, keys = words.distinct(data, begins, ends)
+    assert len(set(codes.tolist())) == 6 and len({tuple(k) for k in keys.tolist()}) == 6
+    enc = tokenids.Encoder(BYTES)
+    assert [x.tolist() for x in enc.encode(data, offsets)] == [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    model = bpe.WordBPE(WORDS)
+    ids, at = bpe.Encoder(model, None).encode(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x.ids for x in model.library.encode_batch(texts, add_special_tokens=False)]
+    flat, at = minhash.shingles(data, offsets, 2)
+    assert np.diff(at).tolist() == [1] * 5 and len(set(flat.tolist())) == 5
+
+
+def test_confusing_words_link_nothing(spark):
+    rows = list(enumerate(["x " + w for n in (1024, 2048) for w in confusing(n)], 1))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(1, 5)]
+
+
+def test_links_are_confirmed_shingle_by_shingle():
+    dice = random.Random(8)
+    texts = families(dice, 6, 6, 12) + ["", "one", "one two", "ONE two", "a b c d e f"]
+    sets = {w: [{tuple(x[i : i + w]) for i in range(len(x) - w + 1)} if len(x) >= w else {tuple(x)} - {()} for x in (t.lower().split() for t in texts)] for w in (2, 5)}
+    for width, own in sets.items():
+        flat, at = minhash.numbered(*text_bytes(pa.array(texts)), width)
+        got = [set(flat[a:b].tolist()) for a, b in zip(at, at[1:])]
+        assert [len(x) for x in got] == [len(x) for x in own]
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+        assert [len(got[i] & got[j]) for i, j in pairs] == [len(own[i] & own[j]) for i, j in pairs]
+        sure = minhash.confirmed(pa.array([texts[i] for i, _ in pairs]), pa.array([texts[j] for _, j in pairs]), width)
+        assert sure.tolist() == [100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]) for i, j in pairs]
+
+
 def test_word_spans_and_memory():
     texts = nasty()
     data, offsets = text_bytes(pa.array([*texts, None]))

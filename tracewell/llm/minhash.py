@@ -37,18 +37,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """
     data = words.lower(data)
     begins, ends, before = words.spans(data, offsets)
-    word = words.hashes(data, begins, ends)
-    count = np.diff(before)
-    many = np.where(count >= width, count - width + 1, np.minimum(count, 1))
-    first = words.gather(before[:-1], many)
-    text = np.repeat(np.arange(len(count)), many)
-    last = before[1:][text]
+    key = words.keys(data, begins, ends)
+    lanes = words.folded(key), words.folded(key[:, ::-1])
+    first, last, text, cuts = _places(before, width)
     out = np.full(len(first), 0x243F6A8885A308D3, np.uint64)
+    other = np.full(len(first), 0x13198A2E03707344, np.uint64)
     for k in range(width):
         at = first + k
         some = at < last
-        out[some] = words.mix(out[some] * np.uint64(0x9E3779B97F4A7C15) + word[at[some]])
-    cuts = np.concatenate(([0], np.cumsum(many)))
+        out[some] = words.mix(out[some] * np.uint64(0x9E3779B97F4A7C15) + lanes[0][at[some]])
+        other[some] = (other[some] ^ lanes[1][at[some]]) * np.uint64(0xD6E8FEB86659FD93) + out[some]
+    out = words.mix(out ^ other >> np.uint64(32) ^ other << np.uint64(32))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         out[a:b].sort()
     new = np.ones(len(out), bool)
@@ -56,6 +55,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return out[new], np.concatenate(([0], np.cumsum(new)))[cuts]
 
 
+def _places(before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each shingle its first word, the end of its text and its text; and where each text's shingles begin."""
+    count = np.diff(before)
+    many = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    text = np.repeat(np.arange(len(count)), many)
+    return words.gather(before[:-1], many), before[1:][text], text, np.concatenate(([0], np.cumsum(many)))
+
+
+def numbered(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as sorted numbers, end to end, and where each text's begin.
+
+    Of these texts equal shingles, and only these, have equal numbers: words are numbered, then pairs of number and
+    next word, and so on. Nothing rests on a hash of a shingle.
+    """
+    data = words.lower(data)
+    begins, ends, before = words.spans(data, offsets)
+    word, kinds, _ = words.distinct(data, begins, ends)
+    first, last, text, cuts = _places(before, width)
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    number = word[first]
+    for k in range(1, width):
+        at = first + k
+        following = np.where(at < last, word[np.minimum(at, len(word) - 1)] + 1, 0)
+        number, _ = pd.factorize(number * (len(kinds) + 1) + following)
+    most = int(number.max()) + 1
+    flat = np.unique(text * most + number)
+    return flat % most, np.searchsorted(flat // most, np.arange(len(cuts)))
+
+
+def alike(both: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with so many common items are linked."""
+    return 100 * both >= PERCENT * (one + other - both)
+
+
 def prints(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A fingerprint of each set in two 64-bit integers."""
     out = np.zeros((len(offsets) - 1, 2), np.uint64)
@@ -114,23 +148,39 @@ def _sets(width: int):
             for part in blocks(batch):
                 flat, offsets = shingles(*text_bytes(part.column(1)), width)
                 own = prints(flat, offsets).astype(np.int64)
-                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int64)))
-                yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), pa.array(own[:, 0]), pa.array(own[:, 1]), items], ["doc_id", "n", "p", "q", "items"])
+                yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), pa.array(own[:, 0]), pa.array(own[:, 1]), part.column(1)], ["doc_id", "n", "p", "q", "text"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(one: pa.Array, other: pa.Array, width: int) -> np.ndarray:
+    """Whether the texts of each pair are linked, by their whole sets of shingles."""
+    many = len(one)
+    (data, offsets), (more, on) = text_bytes(one), text_bytes(other)
+    flat, cuts = numbered(np.concatenate((data, more)), np.concatenate((offsets, on[1:] + offsets[-1])), width)
+    size = np.diff(cuts)
+    own = np.repeat(np.arange(2 * many) % many, size) * (int(flat.max(initial=0)) + 1) + flat
+    common = np.intersect1d(own[: cuts[many]], own[cuts[many] :], assume_unique=True)
+    both = np.bincount(common // (int(flat.max(initial=0)) + 1), minlength=many)
+    return alike(both, size[:many], size[many:])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
-    full = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("of_b")), "b").join(sets.select(F.col("c").alias("a"), F.col("items").alias("of_a")), "a")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return full.select("a", "b", both.alias("both"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b")).filter("100 * both >= %d * (n_a + n_b - both)" % PERCENT).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "of_a"):
+                yield part.select(["a", "b"]).filter(pa.array(confirmed(part.column(2), part.column(3), width)))
+
+    full = pairs.join(sets.select(F.col("c").alias("b"), F.col("text").alias("of_b")), "b").join(sets.select(F.col("c").alias("a"), F.col("text").alias("of_a")), "a")
+    return full.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def linked(c: np.ndarray, component: np.ndarray, outside: np.ndarray, offsets: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
     """Links of the sets `outside` (a mask) with the others, one for each set and other component: whole sets compared.
 
-    The sets lie end to end. Each outside set marks its items in a table; a sum over the marks of all items gives
+    The sets (items: the shingles' numbers) lie end to end. Each outside set marks its items in a table; a sum over the marks of all items gives
     its intersections with all sets at once.
     """
     codes, _ = pd.factorize(items)
@@ -141,29 +191,29 @@ def linked(c: np.ndarray, component: np.ndarray, outside: np.ndarray, offsets: n
         mark[own] = True
         both = np.add.reduceat(mark[codes], offsets[:-1], dtype=np.int64)
         mark[own] = False
-        near = np.flatnonzero((100 * both >= PERCENT * (size + size[k] - both)) & (component != component[k]))
+        near = np.flatnonzero(alike(both, size, size[k]) & (component != component[k]))
         if len(near):
             near = near[np.unique(component[near], return_index=True)[1]]
             out += [(min(int(c[k]), int(c[i])), max(int(c[k]), int(c[i]))) for i in near.tolist()]
     return out
 
 
-def _linked_block(table: pa.Table) -> pa.Table:
-    """Links of one block: rows of outside classes beside rows of members; a class may be both."""
-    table = table.sort_by([("c", "ascending"), ("outside", "descending")]).combine_chunks()
-    c, outside = table.column("c").to_numpy(), table.column("outside").to_numpy(zero_copy_only=False)
-    keep = np.ones(len(c), bool)
-    keep[1:] = c[1:] != c[:-1]  # a class that is both stands as outside
-    rows = np.flatnonzero(keep)
-    items = table.column("items").chunk(0)
-    begins = np.asarray(items.offsets).astype(np.int64)
-    lengths = np.diff(begins)[rows]
-    flat = np.asarray(items.values)[words.gather(begins[:-1][rows], lengths)]
-    pairs = linked(c[rows], table.column("component").to_numpy()[rows], outside[rows], np.concatenate(([0], np.cumsum(lengths))), flat)
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+def _linked_block(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of one block: rows of outside classes beside rows of members; a class may be both."""
+        table = table.sort_by([("c", "ascending"), ("outside", "descending")]).combine_chunks()
+        c = table.column("c").to_numpy()
+        keep = np.ones(len(c), bool)
+        keep[1:] = c[1:] != c[:-1]  # a class that is both stands as outside
+        table = table.filter(pa.array(keep))
+        items, offsets = numbered(*text_bytes(table.column("text")), width)
+        pairs = linked(c[keep], table.column("component").to_numpy(), table.column("outside").to_numpy(zero_copy_only=False), offsets, items)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return run
 
 
-def _checked_blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+def _checked_blocks(left: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """Links a, b between the members of a bucket outside its main component and all its members.
 
     A bucket's members fall by a hash into blocks of about BLOCK, and so do those outside; each pair of blocks is a
@@ -176,7 +226,7 @@ def _checked_blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
     inside = left.select(*columns, F.lit(False).alias("outside"), place("blocks").alias("m"), every("others").alias("o"))
     outside = left.filter("component <> main").select(*columns, F.lit(True).alias("outside"), place("others").alias("o"), every("blocks").alias("m"))
     rows = inside.unionByName(outside).join(sets, "c")
-    return rows.groupBy("bucket", "m", "o").applyInArrow(_linked_block, "a long, b long").distinct()
+    return rows.groupBy("bucket", "m", "o").applyInArrow(_linked_block(width), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -204,7 +254,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     sketches are candidates. Within such a bucket pairs are not all made: its members are checked against its first
     member; if all are then in one component it is done. Else those outside its largest component are checked
     against all its members, in blocks of BLOCK by BLOCK, and only links come out. So each pair of a bucket has been
-    checked or is linked already. A check compares the full sets. Nothing is capped or dropped.
+    checked or is linked already. A check compares the full sets, shingle by shingle, from the texts. Nothing is
+    capped or dropped. Texts count as one class by a 128-bit print of their sets.
 
     component_id is the least id reachable over links, the row's own included. Texts without words, and null texts,
     link with nothing: their component is their own id. So is a row with a null id: its component is null. Rows with
@@ -218,13 +269,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     classes = rows.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
-    member = classes.select("c", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("lead")).filter("many > 1")
-    members = written(member.join(shared.select("bucket", "lead"), "bucket"), "near-members")
+    member = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count("*").alias("many"), F.min(F.struct("c", "n")).alias("lead")).filter("many > 1")
+    members = written(member.join(shared.select("bucket", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"), "near-members")
     wanted = classes.join(members.select("c").distinct(), "c").select("c", *key, "least")
-    found = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, n long, p long, q long, items array<long>")
+    found = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(width), "doc_id long, n long, p long, q long, text string")
     found = found.dropDuplicates(["doc_id", *key]).join(wanted.withColumnRenamed("least", "doc_id"), ["doc_id", *key])
-    sets = written(found.select("c", "items"), "near-sets")
+    sets = written(found.select("c", "text"), "near-sets")
 
     links = None
     labels = None
@@ -241,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         pairs = written(pairs, f"near-pairs-{step}")
         if pairs.isEmpty():
             return False
-        new = written(_verified(pairs, sets), f"near-links-{step}")
+        new = written(_verified(pairs, sets, width), f"near-links-{step}")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links, f"near-{step}")
@@ -257,16 +308,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         return pairs.filter("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b")
 
     # the first member of each bucket: first against one class of each bucket's rest, then against all that are apart
-    first = members.filter("c <> lead").groupBy(F.col("c").alias("b")).agg(F.min("lead").alias("a"))
+    # pairs whose sizes alone rule a link out need no look at their sets
+    starred = members.filter(f"c <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)")
+    first = starred.groupBy(F.col("c").alias("b")).agg(F.min("lead").alias("a"))
     check(apart(first), "0")
-    check(apart(members.select(F.col("lead").alias("a"), F.col("c").alias("b"))), "1")
+    check(apart(starred.select(F.col("lead").alias("a"), F.col("c").alias("b"))), "1")
     # buckets whose other members are in several components yet: what is outside the largest one against all others
     left = labelled(members.filter("c <> lead").select("bucket", "c"))
     sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("own"))
     spread = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("own").alias("size"), F.max("own").alias("most"), F.max_by("component", F.struct("own", "component")).alias("main")).filter("kinds > 1")
     left = written(left.join(spread.drop("kinds"), "bucket"), "near-left")
     if not left.isEmpty():
-        new = written(_checked_blocks(left, sets), "near-links-2")
+        new = written(_checked_blocks(left, sets, width), "near-links-2")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links, "near-2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,10 @@ import pyarrow as pa
 #: Words are runs of other bytes than these: [^\x20\x09-\x0D]+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-#: Odd multipliers of the two rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Bytes hashed at a time.
-SPAN = 1 << 17
+#: Words of up to so many bytes are their own key; a longer one has a cryptographic digest.
+SHORT = 15
+#: Which bytes of eight belong to a word of so many.
+HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -36,16 +36,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> t
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-@functools.cache
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(SPAN, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -55,45 +45,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial modulo 2**64 with its length, well mixed."""
-    powers, inverses = _powers(base)
-    out = np.empty(len(begins), np.uint64)
-    at = 0
-    while at < len(begins):
-        low = int(begins[at])
-        to = max(at + 1, int(np.searchsorted(ends, low + SPAN, "right")))
-        b, e = begins[at:to] - low, ends[at:to] - low
-        if e[-1] > SPAN:  # one word longer than a span
-            word = data[low : int(ends[at])]
-            total = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for part in range(0, len(word), SPAN):
-                    piece = word[part : part + SPAN].astype(np.uint64) + np.uint64(1)
-                    total = mix(np.array([total]))[0] + (piece * powers[: len(piece)]).sum(dtype=np.uint64)
-            out[at] = total
-        else:
-            sums = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum((data[low : low + int(e[-1])].astype(np.uint64) + np.uint64(1)) * powers[: int(e[-1])], out=sums[1:])
-            out[at:to] = (sums[e] - sums[b]) * inverses[b]
-        at = to
-    return mix(out ^ ((ends - begins).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+def keys(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits for each word, equal only for equal words.
 
+    A word of up to SHORT bytes is its bytes and, in the last one, its length: exact. A longer word is a digest of its
+    bytes with a last byte that no short word has.
+    """
+    size = ends - begins
+    held = np.concatenate((data, np.zeros(16, np.uint8)))
+    eights = np.ndarray((len(data) + 9,), "<u8", held.data, 0, (1,))  # the eight bytes from each place on
+    out = np.empty((len(begins), 2), np.uint64)
+    out[:, 0] = eights[begins] & HEADS[np.minimum(size, 8)]
+    out[:, 1] = eights[begins + 8] & HEADS[np.clip(size - 8, 0, 7)] | np.minimum(size, SHORT + 1).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        digests = b"".join(hashlib.blake2b(data[b:e], digest_size=SHORT).digest() + b"\xff" for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True))
+        out[long] = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return out
 
-def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the number of its distinct word; for each distinct word one place where it stands, and its key.
 
-    Words are told apart by two 64-bit hashes with different multipliers; these are the key's columns.
-    """
+def folded(keys: np.ndarray) -> np.ndarray:
+    """64 bits of each key, well mixed."""
+    return mix(keys[:, 0] ^ mix(keys[:, 1] ^ np.uint64(0xA24BAED4963EE407)))
+
+
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return folded(keys(data, begins, ends))
+
+
+def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the number of its distinct word; for each distinct word one place where it stands, and its key."""
     if not len(begins):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    keys = np.stack([hashes(data, begins, ends, base) for base in BASES], axis=1)
-    codes, _ = pd.factorize(keys[:, 0])
+    own = keys(data, begins, ends)
+    codes, _ = pd.factorize(folded(own))
     first = _firsts(codes)
-    if (keys[:, 1] != keys[first[codes], 1]).any():  # the first hash met twice
-        codes, _ = pd.MultiIndex.from_arrays([keys[:, 0], keys[:, 1]]).factorize()
+    if (own != own[first[codes]]).any():  # two words have one hash
+        codes, _ = pd.MultiIndex.from_arrays([own[:, 0], own[:, 1]]).factorize()
         first = _firsts(codes)
-    return codes, first, keys[first]
+    return codes, first, own[first]
 
 
 def _firsts(codes: np.ndarray) -> np.ndarray:
@@ -117,7 +108,7 @@ class Memory:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where it is unknown."""
         out = np.full(len(keys), -1, np.int64)
-        left, slot = np.arange(len(keys)), (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        left, slot = np.arange(len(keys)), (folded(keys) & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             held = self.slots[slot]
             same = (held >= 0) & (self.keys[held] == keys[left]).all(axis=1)
@@ -142,7 +133,7 @@ class Memory:
         return numbers
 
     def _place(self, numbers: np.ndarray) -> None:
-        left, slot = numbers, (self.keys[numbers, 0] & np.uint64(self.mask)).astype(np.int64)
+        left, slot = numbers, (folded(self.keys[numbers]) & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = left[free]  # of several for one slot the last stays
