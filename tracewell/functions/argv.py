@@ -21,26 +21,32 @@ ASSIGNMENT = r"^[A-Za-z0-9_]+=(?s).*"
 SPECIAL = set("|&;<>`$()")
 
 
+def positional_sql(args: str, valued: tuple[str, ...] = ()) -> str:
+    """positional() of a column by name, as one SQL expression: quicker to build where there are many."""
+    flags = "array(" + ", ".join(f"'{v}'" for v in valued) + ")" if valued else "CAST(array() AS ARRAY<STRING>)"
+    long = [v for v in valued if v.startswith("--")]
+    joined = f" AND NOT x RLIKE '^({'|'.join(long)})='" if long else ""
+    keep = f"s.every OR (NOT s.skip AND NOT array_contains({flags}, x){joined} AND NOT startswith(x, '-'))"
+    step = f"named_struct('kept', IF({keep}, concat(s.kept, array(x)), s.kept), 'skip', NOT s.every AND NOT s.skip AND array_contains({flags}, x), 'every', s.every OR (NOT s.skip AND x = '--'))"
+    return f"aggregate({args}, named_struct('kept', CAST(array() AS ARRAY<STRING>), 'skip', false, 'every', false), (s, x) -> {step}, s -> s.kept)"
+
+
 def positional(args: Column, valued: tuple[str, ...] = ()) -> Column:
     """Arguments that are no flags: what follows a valued flag is its value, after -- all count."""
     flags = strings(*valued)
     long = [v for v in valued if v.startswith("--")]
 
     def step(state: Column, arg: Column) -> Column:
-        joined = F.lit(False)
-        for flag in long:
-            joined = joined | arg.startswith(f"{flag}=")
-        takes = ~state["all"] & ~state["skip"] & F.array_contains(flags, arg)
-        rest = ~state["all"] & ~state["skip"] & (arg == "--")
-        keep = state["all"] | (~state["skip"] & ~takes & ~rest & ~joined & ~arg.startswith("-"))
-        return F.struct(
-            F.when(keep, F.concat(state["out"], F.array(arg))).otherwise(state["out"]).alias("out"),
-            takes.alias("skip"),
-            (state["all"] | rest).alias("all"),
-        )
-
-    start = F.struct(strings().alias("out"), F.lit(False).alias("skip"), F.lit(False).alias("all"))
-    return F.aggregate(args, start, step, lambda state: state["out"])
+        free = ~state["every"] & ~state["skip"]
+        takes = free & F.array_contains(flags, arg)
+        plain = ~arg.startswith("-") & ~F.array_contains(flags, arg)
+        if long:
+            plain = plain & ~arg.rlike(f"^({'|'.join(long)})=")
+        kept = F.when(state["every"] | (~state["skip"] & plain), F.concat(state["kept"], F.array(arg))).otherwise(state["kept"])
+        return F.struct(kept.alias("kept"), takes.alias("skip"), (state["every"] | (free & (arg == "--"))).alias("every"))
+
+    start = F.struct(strings().alias("kept"), F.lit(False).alias("skip"), F.lit(False).alias("every"))
+    return F.aggregate(args, start, step, lambda state: state["kept"])
 
 
 def first_positional(args: Column, valued: tuple[str, ...] = ()) -> Column:

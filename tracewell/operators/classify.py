@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ COMPOSE_FLAGS = (*DOCKER_FLAGS, "-f", "--file", "-p", "--project-name", "--profi
 KUBE_FLAGS = ("-n", "--namespace", "-c", "--container", "--context", "--selector", "-l", "--field-selector", "--tail", "--since", "-o", "--output", "-f", "--filename", "--kubeconfig")
 NPM_FLAGS = ("--prefix", "--cache", "-w", "--workspace")
 PNPM_FLAGS = ("--filter", "-C", "--dir")
+UV_FLAGS = ("--project", "--directory", "--python")
+POETRY_FLAGS = ("-C", "--directory", "--project")
+CWD_FLAGS = ("--cwd",)
+CARGO_FLAGS = ("--config", "-Z")
+GH_FLAGS = ("-R", "--repo", "--hostname")
+DOTNET_FLAGS = ("--configuration", "--framework", "--runtime")
 #: First positional argument by label.
 GIT = ["status", "diff", "log", "branch", "remote", "show", "fetch", "pull", "push", "checkout", "switch", "commit", "add", "clone", "merge", "tag", "reset", "stash"]
 DOCKER = ["ps", "images", "logs", "build", "inspect", "pull"]
@@ -27,6 +35,19 @@ GENERIC = ["ls", "find", "rg", "grep", "curl", "wget", "env", "cat", "head", "ta
 FAMILIES = ["git", "docker", "python", "lint", "test", "node", "rust", "gh", "k8s", "build", "generic"]
 
 
+#: For each set of flags that take a value the column that holds the positional arguments; () is no flag at all.
+WORDS = {flags: f"__words_{k}" for k, flags in enumerate(((), GIT_FLAGS, DOCKER_FLAGS, COMPOSE_FLAGS, KUBE_FLAGS, NPM_FLAGS, PNPM_FLAGS, UV_FLAGS, POETRY_FLAGS, CWD_FLAGS, CARGO_FLAGS, GH_FLAGS, DOTNET_FLAGS))}
+
+
+def _words(flags: tuple[str, ...]) -> Column:
+    return F.col(WORDS[flags])
+
+
+def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """With more columns, computed once: as a generator's output they aren't copied into what uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _at(array: Column, place: int) -> Column:
     return F.try_element_at(array, F.lit(place))
 
@@ -44,8 +65,8 @@ def _has(args: Column, *words: str) -> Column:
 
 
 def _docker(program: Column, args: Column) -> Column:
-    first = A.first_positional(args, DOCKER_FLAGS)
-    words = A.positional(args, COMPOSE_FLAGS)
+    first = _at(_words(DOCKER_FLAGS), 1)
+    words = _words(COMPOSE_FLAGS)
     sub = F.when(_at(words, 1) == "compose", _at(words, 2)).otherwise(_at(words, 1))
     compose = F.when(F.size(words) > 0, F.when(sub.isin("logs", "build", "pull"), F.concat(F.lit("docker."), sub)).otherwise(F.lit("docker.compose")))
     return F.when(program == "docker-compose", compose).when((program == "docker") & (first == "compose"), compose).when(program == "docker", _named(first, DOCKER, "docker"))
@@ -64,14 +85,14 @@ def _python(program: Column, args: Column) -> Column:
         return F.when(tool.isin("pip", "pip3"), F.lit("python.pip")).when(tool.isin("pytest", "py.test"), F.lit("python.pytest")).when(tool.isin("ruff", "mypy"), F.concat(F.lit("python."), tool))
 
     def runner(name: str, flags: tuple[str, ...]) -> Column:
-        words = A.positional(args, flags)
+        words = _words(flags)
         inner = F.coalesce(direct(_at(words, 2)), F.when(_at(words, 2).isin("python", "python3", "py"), _module(words)))
         return F.coalesce(F.when(_at(words, 1) == "run", inner), F.lit(f"python.{name}"))
 
     return F.coalesce(
         direct(program),
-        F.when(program == "uv", runner("uv", ("--project", "--directory", "--python"))),
-        F.when(program == "poetry", runner("poetry", ("-C", "--directory", "--project"))),
+        F.when(program == "uv", runner("uv", UV_FLAGS)),
+        F.when(program == "poetry", runner("poetry", POETRY_FLAGS)),
         F.when(program.isin("python", "python3", "py"), _module(args)),
     )
 
@@ -79,15 +100,15 @@ def _python(program: Column, args: Column) -> Column:
 def _script_runner(program: Column, args: Column, pick) -> Column:
     """pick(words) for what npx, bun, npm, pnpm and yarn run, with or without a word such as exec before it."""
     def run(flags: tuple[str, ...], through: tuple[str, ...], bare: bool = True) -> Column:
-        words = A.positional(args, flags)
+        words = _words(flags)
         direct = pick(words) if bare else F.lit(None).cast("string")
         return F.when(_at(words, 1).isin(*through), pick(_rest(words))).otherwise(direct)
 
     return (
-        F.when(program.isin("npx", "bunx"), pick(A.positional(args)))
+        F.when(program.isin("npx", "bunx"), pick(_words(())))
         .when(program == "npm", run(NPM_FLAGS, ("exec", "x", "run", "run-script")))
         .when(program == "pnpm", run(PNPM_FLAGS, ("exec", "dlx", "run", "run-script")))
-        .when(program == "yarn", run(("--cwd",), ("dlx", "run")))
+        .when(program == "yarn", run(CWD_FLAGS, ("dlx", "run")))
     )
 
 
@@ -98,7 +119,7 @@ def _lint(program: Column, args: Column) -> Column:
     # go [global flags] tool [flags] golangci-lint
     text = F.array_join(args, " ")
     go = F.when((program == "go") & text.rlike(r"^(?:(?:-C|-overlay|-modfile|-mod) \S+ |-\S+ )*tool (?:-modfile \S+ |-\S+ )*golangci-lint(?: |$)"), F.lit("lint.golangci-lint"))
-    bun = A.positional(args, ("--cwd",))
+    bun = _words(CWD_FLAGS)
     through = F.when((program == "bun") & (_at(bun, 1) == "x"), pick(_rest(bun)))
     return F.coalesce(_named(program, LINTERS, "lint"), go, through, _script_runner(program, args, pick))
 
@@ -112,10 +133,10 @@ def _test(program: Column, args: Column) -> Column:
         mini = F.exists(rest, lambda x: x.isin("-Itest", "test") | x.endswith("_test.rb"))
         return F.when(_has(rest, "rspec"), F.lit("test.rspec")).when(mini, F.lit("test.minitest"))
 
-    first = A.first_positional(args)
+    first = _at(_words(()), 1)
     rails = ("rails", "./bin/rails", "bin/rails")
     bundle = F.when(_at(args, 1) == "exec", F.when(_at(args, 2) == "rspec", F.lit("test.rspec")).when(_at(args, 2) == "ruby", ruby(_rest(args, 2))).when(_at(args, 2).isin(*rails) & (_at(args, 3) == "test"), F.lit("test.minitest")))
-    bun = A.positional(args, ("--cwd",))
+    bun = _words(CWD_FLAGS)
     bun = F.when(_at(bun, 1).isin("x", "run"), pick(_rest(bun))).otherwise(pick(bun))
     return (
         F.when(program.isin("vitest", "jest", "rspec", "minitest"), F.concat(F.lit("test."), program))
@@ -129,15 +150,15 @@ def _test(program: Column, args: Column) -> Column:
 
 
 def _kube(program: Column, args: Column) -> Column:
-    words = A.positional(args, KUBE_FLAGS)
+    words = _words(KUBE_FLAGS)
     first = _at(words, 1)
     label = F.when((first == "get") & _has(words, "po", "pod", "pods"), F.lit("pods")).when((first == "get") & _has(words, "svc", "service", "services"), F.lit("services")).when(first.isin("logs", "describe", "apply"), first)
     return F.when(program == "kubectl", F.concat(F.lit("k8s.kubectl-"), label))
 
 
 def _build(program: Column, args: Column) -> Column:
-    first = A.first_positional(args)
-    dotnet = _named(A.first_positional(args, ("--configuration", "--framework", "--runtime")), DOTNET, "build", "dotnet-")
+    first = _at(_words(()), 1)
+    dotnet = _named(_at(_words(DOTNET_FLAGS), 1), DOTNET, "build", "dotnet-")
     return (
         F.when(program.isin("tsc", "make", "cmake"), F.concat(F.lit("build."), program))
         .when(program.isin("next", "vite") & (first == "build"), F.concat(F.lit("build."), program))
@@ -170,14 +191,14 @@ def _generic(program: Column, args: Column) -> Column:
 def _rules(program: Column, args: Column) -> Column:
     """The first family that knows the command gives the label."""
     return F.coalesce(
-        F.when(program == "git", _named(A.first_positional(args, GIT_FLAGS), GIT, "git")),
+        F.when(program == "git", _named(_at(_words(GIT_FLAGS), 1), GIT, "git")),
         _docker(program, args),
         _python(program, args),
         _lint(program, args),
         _test(program, args),
         F.when(program.isin("npm", "pnpm", "yarn", "bun"), F.concat(F.lit("node."), program)).when(program.isin("npx", "bunx"), F.lit("node.npx")),
-        F.when(program == "cargo", _named(A.first_positional(args, ("--config", "-Z")), CARGO, "rust", "cargo-")),
-        F.when(program == "gh", _named(A.first_positional(args, ("-R", "--repo", "--hostname")), GH, "gh")),
+        F.when(program == "cargo", _named(_at(_words(CARGO_FLAGS), 1), CARGO, "rust", "cargo-")),
+        F.when(program == "gh", _named(_at(_words(GH_FLAGS), 1), GH, "gh")),
         _kube(program, args),
         _build(program, args),
         _generic(program, args),
@@ -185,18 +206,28 @@ def _rules(program: Column, args: Column) -> Column:
     )
 
 
+@functools.cache
+def _label(application: str) -> Column:
+    """The rules over the held columns, built once for an application."""
+    return _rules(F.col("__program"), F.col("__args"))
+
+
 def classified(commands: DataFrame, argv: str = "argv") -> DataFrame:
     """The runs with label and family. `sh -c` with a simple command counts as that command.
 
     Only the quote-aware splitting of such scripts needs Python; it gets null, and does nothing, for other runs.
     """
-    script = commands.withColumn("__inner", A.without_env(A.simple_command(A.shell_script(F.col(argv)))))
+    inner = A.without_env(A.simple_command(A.shell_script(F.col(argv))))
+    script = _held(commands, {"__inner": inner})
+    simple = F.coalesce(F.size("__inner"), F.lit(0)) > 0
     # the bare range printers are told by the shell's own arguments
     own = F.coalesce(_generic(_at(F.col(argv), 1), _rest(F.col(argv))) == "generic.text-excerpt", F.lit(False))
-    target = script.withColumn("__argv", F.when(F.coalesce(F.size("__inner"), F.lit(0)) > 0, F.col("__inner")).otherwise(F.col(argv)))
-    label = F.coalesce(F.when(own & (F.coalesce(F.size("__inner"), F.lit(0)) <= 0), F.lit("generic.text-excerpt")), _rules(_at(F.col("__argv"), 1), _rest(F.col("__argv"))))
-    out = target.withColumn("label", label).withColumn("family", F.when(F.col("label") == UNKNOWN, F.lit("generic")).otherwise(F.substring_index("label", ".", 1)))
-    return out.drop("__inner", "__argv")
+    target = _held(script, {"__argv": F.when(simple, F.col("__inner")).otherwise(F.col(argv)), "__own": own & ~simple})
+    target = _held(target, {"__program": _at(F.col("__argv"), 1), "__args": _rest(F.col("__argv"))})
+    target = _held(target, {name: F.expr(A.positional_sql("__args", flags)) for flags, name in WORDS.items()})
+    out = _held(target, {"label": F.when(F.col("__own"), F.lit("generic.text-excerpt")).otherwise(_label(commands.sparkSession.sparkContext.applicationId))})
+    family = F.when(F.col("label") == UNKNOWN, F.lit("generic")).otherwise(F.substring_index("label", ".", 1))
+    return out.select(*[F.col(c) for c in commands.columns if c not in ("label", "family")], "label", family.alias("family"))
 
 
 # ---- which commands are left to the user's own shell ----
@@ -204,7 +235,12 @@ def classified(commands: DataFrame, argv: str = "argv") -> DataFrame:
 #: Programs and subcommands that are interactive or don't end.
 FOLLOW = ["-f", "--follow"]
 ALWAYS = ["ssh", "scp", "sftp", "mosh", "top", "htop", "less", "more", "man", "vim", "nvim", "nano", "tmux", "screen", "watch"]
-KEEP = {"docker": ["run", "exec", "attach"], "compose": ["up", "exec", "run", "attach", "watch"], "kubectl": ["exec", "attach", "port-forward"], "cargo": ["run", "watch"], "js": ["dev", "start", "serve", "watch", "create"]}
+DOCKER_KEPT = ["run", "exec", "attach"]
+COMPOSE_KEPT = ["up", "exec", "run", "attach", "watch"]
+KUBECTL_KEPT = ["exec", "attach", "port-forward"]
+CARGO_KEPT = ["run", "watch"]
+JS_KEPT = ["dev", "start", "serve", "watch", "create"]
+JS_SCRIPTS_KEPT = ["dev", "start", "serve", "watch"]
 
 
 def kept_native(argv: Column) -> Column:
@@ -218,16 +254,16 @@ def kept_native(argv: Column) -> Column:
     def sub(word: Column, names: list[str]) -> Column:
         return F.when(word == "logs", follow).otherwise(F.coalesce(word.isin(names), F.lit(False)))
 
-    js = F.when(first == "run", second.isin(KEEP["js"][:4])).otherwise(first.isin(KEEP["js"]))
+    js = F.when(first == "run", second.isin(JS_SCRIPTS_KEPT)).otherwise(first.isin(JS_KEPT))
     python = _has(args, "-i") | ((_at(args, 1) == "-m") & (_at(args, 2) == "http.server")) | (_at(args, 1).endswith("manage.py") & (_at(args, 2) == "runserver"))
     keep = (
         F.when(program.isin(ALWAYS), F.lit(True))
         .when(program == "tail", follow)
-        .when((program == "docker") & (first == "compose"), sub(second, KEEP["compose"]))
-        .when(program == "docker", sub(first, KEEP["docker"]))
-        .when(program == "docker-compose", sub(first, KEEP["compose"]))
-        .when(program == "kubectl", sub(first, KEEP["kubectl"]))
-        .when(program == "cargo", first.isin(KEEP["cargo"]))
+        .when((program == "docker") & (first == "compose"), sub(second, COMPOSE_KEPT))
+        .when(program == "docker", sub(first, DOCKER_KEPT))
+        .when(program == "docker-compose", sub(first, COMPOSE_KEPT))
+        .when(program == "kubectl", sub(first, KUBECTL_KEPT))
+        .when(program == "cargo", first.isin(CARGO_KEPT))
         .when(program.isin("npm", "pnpm", "yarn", "bun", "npx"), js)
         .when(program.isin("python", "python3"), python)
         .when(program == "node", _has(args, "--watch"))

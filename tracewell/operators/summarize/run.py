@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators.classify import FAMILIES
+from tracewell.operators.classify import FAMILIES, UNKNOWN
 from tracewell.operators.summarize import checks, generic, ops, testing, vcs
+from tracewell.sources.work import stored
 
 SUMMARIES = vcs.SUMMARIES | ops.SUMMARIES | checks.SUMMARIES | testing.SUMMARIES | generic.SUMMARIES
 
@@ -30,20 +32,38 @@ def prepared(runs: DataFrame) -> DataFrame:
     })
 
 
+@functools.cache
+def _pattern(label: str, application: str) -> Column:
+    """What a label's pattern makes of a prepared run, built once for an application."""
+    return SUMMARIES.get(label, generic.fallback)().column()
+
+
+def _family(label: str) -> str:
+    return "generic" if label == UNKNOWN else label.split(".")[0]
+
+
 def summarized(runs: DataFrame, families: list[str] | None = None) -> DataFrame:
     """Classified runs with `summary`: struct of summary, details, stderr_preview, style.
 
-    Each family is a branch with a filter on the column `family`; over a table partitioned by it a branch reads
-    its own partition. `families` restricts the branches to those that occur.
+    The classification is written once, partitioned by family, so that its rules aren't planned again in each
+    branch. Each family that occurs is a branch over its own partition; `families` restricts the branches. A label
+    without a pattern of its own gets the fallback.
     """
-    parts = []
-    for family in families or FAMILIES:
-        rows = prepared(runs.filter(F.col("family") == family))
-        own = [k for k in SUMMARIES if k.split(".")[0] == family or (family == "generic" and k == "unknown")]
+    held = stored(runs, "classified-runs", "family").select(*runs.columns)
+    # one row for each label at most: only the patterns that occur are planned
+    labels = {r["label"] for r in held.select("label").distinct().collect()}
+    parts, application = [], held.sparkSession.sparkContext.applicationId
+    for family in FAMILIES:
+        own = sorted(k for k in labels if _family(k) == family)
+        if not own or (families and family not in families):
+            continue
+        rows = prepared(held.filter(F.col("family") == family))
         if family == "test":
             rows = testing.read(rows)
-        cases = reduce(lambda c, k: c.when(F.col("label") == k, SUMMARIES[k]().column()), own, F.when(F.lit(False), generic.fallback().column()))
+        cases = reduce(lambda c, k: c.when(F.col("label") == k, _pattern(k, application)), own, F.when(F.lit(False), _pattern(own[0], application)))
         parts.append(rows.withColumn("summary", cases).select(*runs.columns, "summary"))
+    if not parts:
+        return held.withColumn("summary", F.lit(None).cast("struct<summary:string,details:array<string>,stderr_preview:array<string>,style:string>"))
     return reduce(DataFrame.unionByName, parts)
 
 
