@@ -308,6 +308,39 @@ def test_phrases_are_longest_matches():
         assert model.phrases(*langid.symbols(data, np.array([0, len(data)])))[0, 0] == count, text
 
 
+def test_whole_texts_are_parsed_as_one():
+    """Across the borders of pieces, copied passages and unknown symbols, against a plain greedy parse."""
+    docs, coded = documents().text.tolist(), lambda t: langid.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    train = coded(" ".join(docs[:4])[:6000])[0]
+    model, body = langid.Model.learned({"x": [train]}, {"x": []}), bytes(train.tolist())
+    asked = [" ".join(docs[:4])[:6000], " ".join(docs[4:9])[:5000], docs[0][100:900] + docs[9][:3000] + docs[1][:2500] + "Ω" * 700 + docs[2], "", "a"]
+    for text in asked:
+        left, count = bytes(coded(text)[0].tolist()), 0
+        while left:
+            n = 1
+            while n < len(left) and left[: n + 1] in body:
+                n += 1
+            left, count = left[n:], count + 1
+        assert model.phrases(*coded(text))[0, 0] == count
+    flat, at = langid.symbols(*text_bytes(pa.array(asked)))
+    assert model.phrases(flat, at)[:, 0].tolist() == [model.phrases(*coded(t))[0, 0] for t in asked]
+
+
+def test_many_languages(spark):
+    rows = [(1000 * i + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * (3 + k) + "zz", f"l{i}") for i in range(320) for k in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    asked = spark.createDataFrame([(r[0], r[1], None) for r in rows if r[0] % 1000 == 0], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(asked, model).collect()} == {r[0]: r[2] for r in rows if r[0] % 1000 == 0}
+
+
+def test_op7_held_out_by_language(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    got = catalog.QUERIES["op7_language"](spark, "/root/testdata/sf0.01").toPandas().merge(docs, on="doc_id")
+    held = got[got.held_out & got.lang.notna()]
+    right = (held.lang == held.lang_pred).groupby(held.lang).mean()
+    assert set(right.index) == {"en", "de", "fr", "es"} and right.min() >= 0.97
+
+
 def test_op7_held_out(spark):
     got = catalog.QUERIES["op7_language"](spark, SF).toPandas().merge(documents(), on="doc_id")
     held = got[got.held_out]
@@ -361,6 +394,63 @@ def test_toxicity_held_out():
     assert net.scores(*text_bytes(pa.array([far, ""])))[0] >= toxicity.DECISION
 
 
+def labelled(sf):
+    rows = pd.read_parquet(f"/root/testdata/{sf}/documents.parquet").merge(pd.read_parquet(f"/root/testdata/{sf}/labels.parquet"), on="doc_id").sort_values("doc_id")
+    return rows, np.array([zlib.crc32(str(x).encode()) % 3 == 1 for x in rows.doc_id])
+
+
+def test_toxicity_of_held_out_documents_by_language():
+    rows, held = labelled("sf0.1")
+    known, asked = rows[~held], rows[held]
+    net = toxicity.learned(known.text.tolist(), known.toxic.to_numpy(np.int64), known.lang.tolist())
+    flagged = net.scores(*text_bytes(pa.array(asked.text))) >= toxicity.DECISION
+    toxic = (asked.toxic == 1).to_numpy()
+    # about six in a hundred toxic labels and two in a hundred clean ones have nothing in the text to show for them
+    assert flagged[toxic].mean() >= 0.8 and flagged[~toxic].mean() <= 0.015
+    least = {"en": 0.9, "es": 0.75, "fr": 0.65, "de": 0.5}
+    for lang, share in least.items():
+        own = (asked.lang == lang).to_numpy()
+        assert flagged[own & toxic].mean() >= share and flagged[own & ~toxic].mean() <= 0.05, lang  # 121 clean Spanish ones, of which four hold the words of toxic ones
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_of_few_labels_leaves_clean_documents_alone(sf):
+    rows, held = labelled(sf)
+    known, asked = rows[~held], rows[held]
+    net = toxicity.learned(known.text.tolist(), known.toxic.to_numpy(np.int64), known.lang.tolist())
+    flagged = net.scores(*text_bytes(pa.array(asked.text))) >= toxicity.DECISION
+    assert not flagged[asked.toxic == 0].any() and flagged[(asked.toxic == 1) & (asked.lang == "en")].mean() > 0.6
+
+
+def test_training_beats_the_start():
+    texts, labels, langs = toxic_sample()
+    texts = [t.replace("scoundrel", "not good").replace("good", "good") if i % 3 else t.replace("scoundrel", "not good") + " good day not bad" for i, t in enumerate(texts)]
+
+    def loss(net):
+        hashes, before = toxicity.word_hashes(*text_bytes(pa.array(texts[600:])))
+        p = 1 / (1 + np.exp(-np.clip(net.logits(*net.padded(net.lookup(hashes), before)), -50, 50)))
+        return -np.mean(np.where(labels[600:] == 1, np.log(p + 1e-9) * 4, np.log(1 - p + 1e-9)))
+
+    hashes, before = toxicity.word_hashes(*text_bytes(pa.array(texts[:600])))
+    every, trained = np.ones(600, bool), []
+    for train in (lambda *a: None, toxicity.Network.train):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity.Network, "train", train)
+            trained.append(loss(toxicity.fitted_network(hashes, before, labels[:600], every, np.random.default_rng(5))[0]))
+    assert trained[1] < 0.5 * trained[0]
+
+
+def test_long_texts_take_part_in_the_fits(spark):
+    dice = random.Random(12)
+    long = lambda marks: " ".join(dice.choice(["calm", "sea", "and", "sky", "warm", "rain"]) if dice.random() < 0.98 else dice.choice(marks) for _ in range(4000))
+    rows = [(i, long(["vile", "scum"] if i % 2 else ["kind", "soft"]), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows) > toxicity.SAMPLE_CHARS
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), F.lit(True))
+    asked = spark.createDataFrame([(1, "vile scum and sea"), (2, "warm rain and soft sky"), (3, "calm sea " * 9000)], "doc_id long, text string")
+    assert [r["score"] >= toxicity.DECISION for r in toxicity.score(asked, model).sort("doc_id").collect()] == [True, False, False]
+
+
 def test_toxicity_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs, labels, F.lit(True))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, fitted, hash_sample, share, text_bytes
+from tracewell.llm.shared import blocks, bounded_arrow, fitted, hash_sample, share, stretch, text_bytes
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns of the first three kinds, and how long a match, or its value, must be.
@@ -341,10 +341,13 @@ def learned(texts: list[str], seed: int = 11) -> Field:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 4000) -> str:
-    """Learns from about SAMPLE_DOCS documents of `most_chars` characters at most, drawn by a hash of the id; gives the
-    field's shared name. The fixed patterns' matches and made-up secrets are its labels."""
-    rows = hash_sample(docs, F.col(id_col), SAMPLE_DOCS, docs.count(), "secrets").filter(F.length(text_col) <= most_chars)
-    rows = rows.select(F.xxhash64(F.col(id_col), F.lit("order")).alias("dice"), F.col(text_col).alias("text"))
+    """Learns from about SAMPLE_DOCS distinct documents, drawn by a hash of id and text; gives the field's shared name.
+
+    The fixed patterns' matches and made-up secrets are its labels. Of a text longer than `most_chars` characters so
+    many from a hashed place take part. Rows of equal id and text teach once, a null text nothing."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = hash_sample(docs.filter(F.col(text_col).isNotNull()), row, SAMPLE_DOCS, docs.count(), "secrets")
+    rows = rows.select(row.alias("dice"), stretch(F.col(text_col), most_chars, "secrets").alias("text")).distinct()
 
     def fit(table: pa.Table) -> bytes:
         return learned(table.sort_by([("dice", "ascending"), ("text", "ascending")]).column("text").to_pylist()).dump()

@@ -6,6 +6,7 @@ import functools
 import hashlib
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,8 +31,13 @@ def _own_folder() -> str:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see. Only where that is unset, as in tests, a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a session in one process,
+    as in tests, gets a folder of its own; a cluster, whose machines would each write to their own disk, an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        top = _own_folder()
     return f"{top.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -107,12 +113,20 @@ def crc_remainder(doc_id: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, key: Column, most: int, count: int, seed: str) -> DataFrame:
-    """About `most` of `count` rows, all if there are fewer: those whose hash falls below a bound. The same rows on each run."""
+    """About `most` of `count` rows, all if there are fewer: those whose hash falls below a bound. The same rows on each run.
+
+    Rows with equal keys are in or out together: where keys may repeat, keep one row of each."""
     if count <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < F.lit(most * (1 << 40) // count))
 
 
+def stretch(text: Column, most: int, seed: str) -> Column:
+    """A text of up to `most` characters whole; of a longer one so many from a place that its hash draws, the same on each run."""
+    first = F.pmod(F.xxhash64(text, F.lit(seed)), F.greatest(F.length(text) - most + 1, F.lit(1)).cast("long")) + 1
+    return F.substring(text, first.cast("int"), F.lit(most))
+
+
 def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes together, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
