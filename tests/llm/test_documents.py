@@ -293,6 +293,26 @@ def test_inclusion_follows_the_odds(spark):
     assert by["sum"].to_dict() == {"a": 1000, "b": 1000} and by["max"].to_dict() == {"a": 1, "b": 2}
 
 
+def test_unequal_odds_choose_the_sample(spark):
+    """Short documents are repeated more often than long ones, as their odds say; the order of u alone chooses others."""
+    dice = random.Random(9)
+    sizes = [dice.choice([4, 64]) for _ in range(6000)] + [65] * 3000
+    docs = mixing.keyed(spark.createDataFrame([(i, f"t{i} " + "w " * (n - 1), "a" if n < 65 else "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string"))
+    plan = mixing.pareto_mix(docs, weights=(1, 3)).toPandas()
+    a = plan[plan.source == "a"]
+    whole = (a.target // a.source_size).iloc[0]
+    extra = a.copies - whole
+    open_words = a.target.iloc[0] - whole * a.source_size.iloc[0]
+    assert abs((extra * a["size"]).sum() - open_words) <= 2
+    share = extra.groupby(a["size"]).mean()
+    odds = share / (1 - share)
+    assert odds[4] / odds[64] == pytest.approx(16**0.5, rel=0.12)  # size to the power -1/2
+    u = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string"), "text"), 12).alias("u")).toPandas()
+    by_u = a.merge(u, on="doc_id").sort_values("u")
+    plain = set(by_u.doc_id[by_u["size"].cumsum() <= open_words])
+    assert len(plain ^ set(a.doc_id[extra > 0])) > 0.1 * len(plain)
+
+
 # ---- learned operators ----
 
 

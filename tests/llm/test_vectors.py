@@ -1,5 +1,8 @@
 """The searches over vectors, against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -39,6 +42,38 @@ def test_op5(spark):
     assert all(abs(rows[at[r.query_id]] @ rows[at[r.vec_id]] - r.score) < 1e-12 for r in got.itertuples())
 
 
+@pytest.mark.parametrize("blocks", [(64, 16), (37, 5)])
+def test_top_k_over_many_blocks(spark, blocks):
+    ids, rows = embeddings()
+    got = topk.exact_top_k(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5, block_rows=blocks[0], block_queries=blocks[1])
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute(ids, np.floor(256 * rows).astype(int), ids % 50 == 0, 5)
+
+
+def test_top_k_of_large_components(spark):
+    """Beyond doubles, beyond 64 bits, and beyond 64 bits on the way only."""
+    dice = np.random.default_rng(5)
+    rows = [[float(np.float32(x)) for x in dice.normal(size=6) * 10.0 ** dice.integers(0, 10)] for _ in range(120)]
+    rows += [[1e9, 1e9, 0, 0, 0, 0], [1e9, -1e9, 1.0, 0, 0, 0], [3e38, 1, 1, 1, 1, 1], [-3e38, 1, 0, 0, 0, 0], [3e9, 3e9, -3e9, 3e9, -3e9, 1], [3e9, 3e9, 3e9, -3e9, 0, 2]]
+    rows = [[float(np.float32(x)) for x in r] for r in rows]
+    top, low = (1 << 63) - 1, -(1 << 63)
+    whole = [[max(low, min(top, math.floor(256 * Fraction(x)))) for x in r] for r in rows]
+    want = []
+    for i in range(0, len(rows), 3):
+        scores = [(-max(low, min(top, sum(x * y for x, y in zip(whole[i], r)))), j) for j, r in enumerate(whole) if j != i]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:7])]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 3 == 0, 7, block_rows=50, block_queries=8)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("shard_rows", [64, 130])
+def test_nearest_over_several_shards(spark, shard_rows):
+    ids, rows = embeddings()
+    got = ann.nearest_neighbours(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20, shard_rows=shard_rows).toPandas()
+    pairs, want = set(zip(got.query_id, got.vec_id)), brute(ids, rows, ids % 20 == 0, 20)
+    assert sum((q, v) in pairs for q, _, v, _ in want) >= 0.95 * len(want)
+
+
 def test_graph_recall():
     rows = np.random.default_rng(3).normal(size=(3000, 24)) * np.random.default_rng(4).uniform(0.5, 2, (3000, 1))
     graph, entry = ann.build_graph(rows)

@@ -191,10 +191,10 @@ def _searched(nearest: int):
     return run
 
 
-def nearest_neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k rows of largest inner product found for each query row: query_id, rank, vec_id, score (double).
 
-    Distinct vectors are dealt evenly into shards of SHARD_ROWS at most; each shard gets a graph. Every query is
+    Distinct vectors are dealt evenly into shards of `shard_rows` at most; each shard gets a graph. Every query is
     searched in every shard and the shards' best are ranked, ties to the smaller id. Equal vectors are one node
     and are searched once. `is_query` is a condition on vec_id. A task holds one shard and one block of queries.
 
@@ -207,10 +207,10 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "v
     rows = written(usable(df, id_col, vector_col, zero=False), "ann-rows")
     vecs = distinct_vectors(rows, k, "ann-vectors")
     width = max(1, width_of(vecs))
-    shards = max(1, -(-vecs.count() // SHARD_ROWS))
+    shards = max(1, -(-vecs.count() // shard_rows))
     index = written(build_index(vecs, width, shards), "ann-index")
     asked = written(rows.filter(is_query).select("vector").distinct().join(vecs, "vector").select("v", "vector", F.lit(0).cast("long").alias("extra")), "ann-queries")
-    queries = packed(asked.coalesce(1 + asked.count() // BLOCK_QUERIES), width, BLOCK_QUERIES, "<f8").drop("list")
+    queries = packed(asked.coalesce(1 + asked.count() // BLOCK_QUERIES), width, BLOCK_QUERIES, "<f8")
     pairs = block_pairs(queries, index, shards)
     found = each_pair(pairs, _searched(k + 1), "v long, c long, score double", ["q_keys", "q_matrix", "keys", "matrix", "graph", "entry"])
     return answers(found, vecs, rows, is_query, k)

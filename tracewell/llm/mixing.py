@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import written
@@ -11,9 +13,13 @@ from tracewell.llm.shared import written
 WEIGHTS = (5, 2, 1)
 #: A source, and so each of its documents, is taken so many times at most.
 MOST_COPIES = 3
-#: Bins of the rank in which the cut is searched before rows are ordered.
+#: Bins of the rank in which the cut is searched before rows are ordered; the bin that holds it is cut into as many again.
 BINS = 4096
-#: Times that the words which the first document beyond the cut left open are filled with smaller ones.
+#: Odds of one more copy fall with a document's size to this power: repeats go to short documents rather than long ones.
+SIZE_POWER = -0.5
+#: Steps of halving that find how large the odds must be.
+HALVINGS = 60
+#: Times that what the first document beyond the cut left open goes to the next ones in rank that fit.
 FILLS = 3
 #: Tables of sources up to so many rows are broadcast; larger ones are joined by exchange.
 BROADCAST_ROWS = 50_000
@@ -54,87 +60,116 @@ def _with(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
     return rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
+def odds(sizes: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """source, scale: a document's odds of one more copy, p / (1 - p), are scale * weight_of(size).
+
+    The scale is the one with which the expected words, the sum of p * size, are the source's open words. It is found
+    by halving over a table of the source's sizes, an eighth of a power of two apart.
+    """
+    step = F.round(8 * F.log2(F.greatest("size", F.lit(1)))).cast("int")
+    per = sizes.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words"))
+    per = per.groupBy("source").agg(F.collect_list(F.struct(_weight(F.col("step")).alias("weight"), F.col("words").cast("double").alias("words"))).alias("steps"))
+    rows = _with(per, plan.filter("open > 0").select("source", "open"), small)
+
+    def expected(log_scale):
+        return F.aggregate("steps", F.lit(0.0), lambda total, x: total + x["words"] * (1 - 1 / (1 + F.exp(log_scale) * x["weight"])))
+
+    def halve(state, _):
+        middle = (state["low"] + state["high"]) / 2
+        over = expected(middle) > F.col("open")
+        return F.struct(F.when(over, state["low"]).otherwise(middle).alias("low"), F.when(over, middle).otherwise(state["high"]).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(-60.0).alias("low"), F.lit(60.0).alias("high")), halve, lambda state: F.exp(state["low"]))
+    return rows.select("source", found.alias("scale"))
+
+
+def _weight(step: Column) -> Column:
+    return F.pow(F.lit(2.0), SIZE_POWER * step / 8)
+
+
+def weight_of(size: Column) -> Column:
+    """What a document's size makes of its odds; sizes an eighth of a power of two apart have one weight."""
+    return _weight(F.round(8 * F.log2(F.greatest(size, F.lit(1)))).cast("int"))
+
+
 def _fit(rows: DataFrame, room: DataFrame, small: bool) -> DataFrame:
     """Of each source the first rows by rank whose words fit into its room: the rows' columns and `fits`.
 
-    A histogram of the ranks finds the bin that holds the cut; only that bin's rows are ordered, so no source
-    however large meets in one task.
+    A histogram of the ranks finds the bin that holds the cut, a second one of that bin its part; only that part's rows
+    are ordered, so no source however large meets in one task.
     """
-    columns = rows.columns
-    rows = rows.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
-    fill = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    fill = _with(fill.withColumn("run", run), room, small).filter(F.col("run") > F.col("room"))
-    cut = fill.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("run") - F.col("words")).alias("sure")), "bin").alias("cut"))
-    # a source without a cut fits as a whole
-    binned = rows.join(F.broadcast(cut.withColumnRenamed("source", "__source")) if small else cut.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    sure = binned.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin"))).select(*columns, F.lit(True).alias("fits"))
-    edge = _with(binned.filter(F.col("bin") == F.col("cut.bin")), room, small)
-    upto = F.col("cut.sure") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size", *[c for c in columns if c == KEY]).rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", upto).select(*columns, (F.col("upto") <= F.col("room")).alias("fits"))
-    rest = binned.filter(F.col("bin") > F.col("cut.bin")).select(*columns, F.lit(False).alias("fits"))
-    return sure.unionByName(edge).unionByName(rest)
+    columns, done = rows.columns, []
+    rows = _with(rows, room, small).withColumn("ahead", F.lit(0).cast("long"))
+    for fine in (BINS, BINS * BINS):
+        rows = rows.withColumn("bin", F.floor(F.col("rank") * fine).cast("long"))
+        fill = rows.groupBy("source", "bin", "room", "ahead").agg(F.sum("size").alias("words"))
+        run = F.col("ahead") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+        fill = fill.withColumn("run", run).filter("run > room")
+        cut = fill.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("run") - F.col("words")).alias("sure")), "bin").alias("cut")).withColumnRenamed("source", "__source")
+        # a source without a cut fits as a whole
+        rows = rows.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        done.append(rows.filter("cut is null or bin <> cut.bin").select(*columns, F.coalesce(F.col("bin") < F.col("cut.bin"), F.lit(True)).alias("fits")))
+        rows = rows.filter("bin = cut.bin").withColumn("ahead", F.col("cut.sure").cast("long")).drop("cut")
+    upto = F.col("ahead") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size", KEY).rowsBetween(Window.unboundedPreceding, 0))
+    done.append(rows.withColumn("upto", upto).select(*columns, (F.col("upto") <= F.col("room")).alias("fits")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document is taken so that the sources' words come to their targets.
 
-    A source whose target is t times its size takes every document floor(t) times for certain; the odds of one more
-    copy are p = t - floor(t). For these, documents stand by their random odds over inclusion odds,
-    (u / (1 - u)) / (p / (1 - p)), u from a hash of seed and id, and the first ones that together have the open
-    number of words are taken: a sample of fixed size. What the first document that does not fit leaves open goes
-    to the next ones that do, FILLS times, and at last to one more document if that comes nearer to the target.
+    A source whose target is t times its size takes every document floor(t) times for certain. The open words are a
+    Pareto sample with unequal odds: a document's inclusion odds p / (1 - p) fall with its size (SIZE_POWER), as large
+    as the expected words ask for. Documents stand by their random odds over their inclusion odds,
+    (u / (1 - u)) / (p / (1 - p)), u from a hash of seed, id and text, and the first ones whose words fill the open
+    words are taken: a sample of fixed size in words, in which each document is included with odds near p. What the
+    first document that doesn't fit leaves open goes to the next ones in rank that do, FILLS times, and at last to one
+    more document if that comes nearer to the target.
 
     Returns doc_id, source, size (words), source_size, target, copies, taken (words, repeats counted), and the row
     key of documents that have one: then the copies are those of that very row.
-    Nulls: a null text has no words, a null source is the last source, a null id has a rank like any other. Rows
-    with equal ids get the same rank and each counts; a source without words has target 0. An empty table gives no
-    rows. Other columns are not read.
+    Nulls: a null text has no words, a null source is the last source, a null id has a hash like any other. Rows
+    are told apart by a key, so each row of a repeated id is judged by itself; rows equal in id and text have one rank.
+    A source without words has target 0. An empty table gives no rows. Other columns are not read.
     """
-    key = [KEY] if KEY in docs.columns else []
+    keyed_docs = KEY in docs.columns
     sizes = docs.select(
-        *key,
+        F.col(KEY) if keyed_docs else F.monotonically_increasing_id().alias(KEY),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("digest"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("digest"),
     )
-    u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    sizes = written(sizes.select(*key, "doc_id", "source", "size", u.alias("u")), "mix-sizes")
+    u = (F.shiftrightunsigned("digest", 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+    sizes = written(sizes.select(KEY, "doc_id", "source", "size", u.alias("u")), "mix-sizes")
     targets = written(source_targets(sizes, weights), "mix-targets")
     small = targets.count() <= BROADCAST_ROWS
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.select("source", "source_size", "target", whole.alias("whole"))
-    plan = plan.withColumn("odds", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) - F.col("whole"))
     plan = plan.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
-    ranked = _with(sizes, plan.select("source", "odds", F.col("open").alias("room")), small).filter("odds > 0")
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") / (1 - F.col("odds")))
-    rows = ranked.select(*key, "doc_id", "source", "size", (q / (1 + q)).alias("rank"))
-    room, taken = plan.filter("odds > 0").select("source", F.col("open").alias("room")), None
+    scales = written(odds(sizes, plan, small), "mix-odds")
+    ranked = _with(sizes.filter("size > 0"), scales, small)
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("scale") * weight_of(F.col("size")))
+    rows = ranked.select(KEY, "source", "size", (q / (1 + q)).alias("rank"))
+    room, taken = plan.filter("open > 0").select("source", F.col("open").alias("room")), None
     for k in range(1 + FILLS):
         fitted = written(_fit(rows, room, small), f"mix-fit-{k}")
         more = fitted.filter("fits")
         taken = more if taken is None else taken.unionByName(more)
         if k == 0:
             beyond = fitted.filter("not fits").drop("fits")
-        if k <= FILLS:
-            used = more.groupBy("source").agg(F.sum("size").alias("used"))
-            room = written(_with(room, used.withColumnRenamed("source", "source"), small).select("source", (F.col("room") - F.col("used")).alias("room")).unionByName(room.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left_anti").select("source", "room")), f"mix-room-{k}")
-            rows = _with(fitted.filter("not fits"), room, small).filter("size > 0 and size <= room").select(*key, "doc_id", "source", "size", "rank")
+        used = more.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "__source")
+        left = room.join(F.broadcast(used) if small else used, F.col("source").eqNullSafe(F.col("__source")), "left")
+        room = written(left.select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), f"mix-room-{k}")
+        rows = _with(fitted.filter("not fits"), room, small).filter("size <= room").select(KEY, "source", "size", "rank")
     # one more for each source if that comes nearer to its target than none
-    near = _with(beyond.join(taken.select(*(key or ["doc_id", "rank"])), key or ["doc_id", "rank"], "left_anti"), room, small).filter("size > 0 and size < 2 * room")
-    last = near.groupBy("source").agg(F.min_by(F.struct(*key, "doc_id", "size", "rank"), F.struct(F.abs(F.col("size") - F.col("room")), "rank", "doc_id", "size", *key)).alias("last"))
-    taken = taken.drop("fits").unionByName(last.select(*[f"last.{k}" for k in key], "last.doc_id", "source", "last.size", "last.rank"))
-    extra = taken.select(*key, "doc_id", "source", "size", F.lit(1).alias("extra"))
-    # every row once with its whole copies, the sampled rows once more
-    n = F.sum("extra")
-    merged = sizes.select(*key, "doc_id", "source", "size", F.lit(0).alias("extra"), F.lit(1).alias("one")).unionByName(extra.withColumn("one", F.lit(0)))
-    per = merged.groupBy(*key, "doc_id", "source", "size").agg(n.alias("extra"), F.sum("one").alias("rows"))
-    each = per.select(*key, "doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"), "extra")
-    out = _with(each, plan, small)
-    copies = (F.col("whole") + (F.col("nth") <= F.col("extra")).cast("long")).alias("copies")
-    return out.select(*key, "doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    near = _with(beyond, room, small).filter("size < 2 * room").join(taken.select(KEY), KEY, "left_anti")
+    last = near.groupBy("source").agg(F.min_by(KEY, F.struct(F.abs(F.col("size") - F.col("room")), "rank", "size", KEY)).alias(KEY))
+    extra = taken.select(KEY).unionByName(last.select(KEY)).withColumn("extra", F.lit(1))
+    out = _with(sizes.join(extra, KEY, "left"), plan, small)
+    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies")
+    return out.select(*([KEY] if keyed_docs else []), "doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def matrix(col: pa.Array, width: int, kind: type) -> np.ndarray:
     return out
 
 
-def packed(rows: DataFrame, width: int, most: int, kind: str, lists: int = 1) -> DataFrame:
-    """Blocks of up to `most` rows of v, vector, extra: block, list, keys, extras, matrix. With lists, the components of a block fall into so many."""
+def packed(rows: DataFrame, width: int, most: int, kind: str) -> DataFrame:
+    """Blocks of up to `most` rows of v, vector, extra: block, keys, extras, matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -59,9 +59,7 @@ def packed(rows: DataFrame, width: int, most: int, kind: str, lists: int = 1) ->
 
         def block() -> pa.RecordBatch:
             keys, extras, all_rows = (np.concatenate([h[i] for h in held]) for i in range(3))
-            cuts = [width * k // lists for k in range(lists + 1)]
-            out = [(part << 24 | made, k, keys.tobytes(), extras.tobytes(), np.ascontiguousarray(all_rows[:, a:b]).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "list", "keys", "extras", "matrix"])
+            return pa.record_batch([pa.array([part << 24 | made], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, extras, all_rows))], ["block", "keys", "extras", "matrix"])
 
         count = 0
         for batch in batches:
@@ -77,11 +75,11 @@ def packed(rows: DataFrame, width: int, most: int, kind: str, lists: int = 1) ->
         if count:
             yield block()
 
-    return rows.mapInArrow(run, "block long, list int, keys binary, extras binary, matrix binary")
+    return rows.mapInArrow(run, "block long, keys binary, extras binary, matrix binary")
 
 
 def block_pairs(queries: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
-    """Every block of the query set beside every block of rows (and equal list), by an exchange on groups of blocks.
+    """Every block of the query set beside every block of rows, by an exchange on groups of blocks.
 
     The `count` blocks of rows are dealt into groups, as many as there are shuffle partitions at most; each query
     block goes to each group once. Columns of the query blocks get the prefix q_.
@@ -89,10 +87,7 @@ def block_pairs(queries: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
     groups = max(1, min(count, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     blocks = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    on = [F.col("group") == F.col("q_group")]
-    if "list" in blocks.columns:
-        on.append(F.col("list") == F.col("q_list"))
-    return queries.join(blocks, on).drop("q_group", "group", "q_list")
+    return queries.join(blocks, F.col("group") == F.col("q_group")).drop("q_group", "group")
 
 
 def each_pair(pairs: DataFrame, f: Callable[[dict], pa.RecordBatch], schema: str, columns: list[str]) -> DataFrame:
