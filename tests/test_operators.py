@@ -1,12 +1,14 @@
 """Small cases of the operators that have no SQL twin, and their invariants."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import argv as A
 from tracewell.functions import text as T
-from tracewell.operators import graph, metrics, search, state
+from tracewell.operators import graph, metrics, reads, search, state
 from tracewell.sources import files as source_files
 
 
@@ -130,3 +132,37 @@ def test_reads_and_store(spark, tmp_path):
     store.swap(rows(1, 3), path)
     store.swap(spark.read.parquet(path).filter("id > 0"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_ignore_rules(spark):
+    rules = ["# notes", "*.log", "!keep.log", "build/", "/top.txt", "docs/**/draft.md", "!build/keep.me", "tmp*"]
+    cases = {"a.log": True, "keep.log": False, "x/keep.log": False, "x/b.log": True, "build/a.py": True, "x/build/a.py": True, "build": False, "build/keep.me": False, "top.txt": True, "x/top.txt": False, "docs/draft.md": True, "docs/a/b/draft.md": True, "tmp1/x": True, "src/a.py": False}
+    df = spark.createDataFrame([(k,) for k in cases], "path string")
+    assert {r["path"]: r["out"] for r in df.select("path", source_files.ignored(F.col("path"), rules).alias("out")).collect()} == cases
+    assert [r["ok"] for r in df.select(source_files.visible(F.col("path")).alias("ok")).distinct().collect()] == [True]
+
+
+def test_results_of_runs(spark):
+    runs = spark.createDataFrame([("r1", ["ls"], 0, "compressed", (1, 2)), ("r2", ["ls"], 1, "raw_fallback", (3, 4))], "run_id string, argv array<string>, exit_code int, mode string, capture struct<stdout_bytes:long,stderr_bytes:long>")
+    out = [json.loads(r["result"]) for r in reads.run_results(runs).sort("run_id").collect()]
+    assert [x["content_kind"] for x in out] == ["compressed_summary", "raw_output"] and out[1]["stdout_bytes"] == 3 and out[0]["argv"] == ["ls"] and out[0]["raw_output_available"]
+    assert json.loads(reads.spool_results(runs, "why").first()["result"])["reason"] == "why"
+
+
+def test_metrics_as_text(spark):
+    from tracewell.plans.queries import event_log
+
+    text = metrics.as_text(metrics.measured(event_log(spark, "/root/testdata/sf0.001")), "all", "p", 2)
+    lines = text.split("\n")
+    assert lines[0] == "Metrics (all) — p" and lines[3].startswith("Total calls") and "By Tool" in lines and "Top Shell Commands (top 2 by token savings)" in lines
+    assert len({line.index("Calls") for line in lines if line.startswith("Tool")}) == 1
+
+
+def test_vocabulary_counter(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([("one two three",), (None,), ("",)], "text string")
+    got = [r[0] for r in df.select(reads.vocabulary_counter(path)(F.col("text"))).collect()]
+    assert got == [len(Tokenizer.from_file(path).encode("one two three", add_special_tokens=False).ids), None, 0]

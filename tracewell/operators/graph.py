@@ -115,6 +115,33 @@ def outlines(graph: dict[str, DataFrame]) -> DataFrame:
     return graph["files"].join(symbols, graph["files"]["id"] == symbols["file_id"], "left").select("path", F.coalesce("symbols", F.array().cast("array<struct<start_line:int,name:string,kind:string>>")).alias("symbols"))
 
 
+def outline_texts(graph: dict[str, DataFrame]) -> DataFrame:
+    """path and text: each file's name and language, what it imports and its symbols, both by line."""
+    nodes = graph["nodes"].filter("kind <> 'file'")
+    flag = lambda c, word: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(word)).otherwise(F.lit("")) if c in nodes.columns else F.lit("")
+    public = F.when(F.col("visibility").isin("public", "pub"), F.lit("pub ")).otherwise(F.lit("")) if "visibility" in nodes.columns else F.lit("")
+    named = F.coalesce(F.nullif(F.col("signature"), F.lit("")), F.col("name")) if "signature" in nodes.columns else F.col("name")
+    line = F.concat(F.lit("    "), F.col("start_line").cast("string"), F.lit(": "), public, flag("is_async", "async "), flag("is_static", "static "), F.lit("["), F.col("kind"), F.lit("] "), named)
+    listed = lambda order, text, to: F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("text")))), lambda x: x["text"]).alias(to)
+    symbols = nodes.groupBy("file_id").agg(listed(("start_line", "name"), line, "symbols"))
+    imports = graph["refs"].filter("ref_kind = 'import'").groupBy("file_id").agg(listed(("line", "ref_text"), F.col("ref_text"), "imports"))
+    files = graph["files"].join(symbols.withColumnRenamed("file_id", "id"), "id", "left").join(imports.withColumnRenamed("file_id", "id"), "id", "left")
+    language = F.coalesce(F.col("language"), F.lit("unknown")) if "language" in files.columns else F.lit("unknown")
+    head = F.concat(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(" ["), language, F.lit("]"))
+    brought = F.when(F.col("imports").isNotNull(), F.concat(F.lit("  imports: "), F.array_join("imports", ", ")))
+    held = F.when(F.col("symbols").isNotNull(), F.concat(F.lit("  symbols:\n"), F.array_join("symbols", "\n"))).when(F.col("imports").isNull(), F.lit("  (no indexed symbols)"))
+    return files.select("path", F.concat_ws("\n", head, brought, held).alias("text"))
+
+
+def references_text(found: DataFrame, symbol: str, kind: str) -> DataFrame:
+    """One row with the text of what references() found."""
+    line = F.format_string("%s:%s [%s] %s — %s", "file", F.coalesce(F.col("line").cast("string"), F.lit("0")), "sym_kind", "symbol", "ref_kind")
+    rows = found.agg(F.sort_array(F.collect_list(F.struct("file", "line", "ref_kind", "symbol", line.alias("text")))).alias("rows"))
+    head = F.concat(F.lit(f"References for `{symbol}` (kind={kind}): "), F.size("rows").cast("string"), F.lit(" result(s)\n"))
+    text = F.array_join(F.concat(F.array(head), F.transform("rows", lambda x: x["text"])), "\n")
+    return rows.select(F.when(F.size("rows") == 0, F.lit(f"No references found for `{symbol}` (kind={kind}).")).otherwise(text).alias("text"))
+
+
 # ---- snapshots ----
 
 

@@ -144,7 +144,6 @@ def _label(argv: Column, family: Column) -> Column:
 
 def as_json(rows: DataFrame, window: str, project: str | None = None, top: int = 10, tools: Tools = Tools()) -> DataFrame:
     """The whole report as one JSON text: summary, tools, top commands. The parts are a few rows each."""
-    rows = rows.cache()
     parts = summary(rows).select(F.struct("*").alias("summary"))
     tool = by_tool(rows).agg(F.sort_array(F.collect_list(F.struct((-F.col("calls")).alias("order"), F.struct("*").alias("row")))).alias("by_tool"))
     top_rows = top_commands(rows, top, tools).agg(F.sort_array(F.collect_list(F.struct((-F.col("tokens_saved")).alias("order"), (-F.col("calls")).alias("then"), "command", F.struct("*").alias("row")))).alias("top"))
@@ -154,6 +153,54 @@ def as_json(rows: DataFrame, window: str, project: str | None = None, top: int =
     return joined.select(F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
 
 
+def percent(share: Column) -> Column:
+    return F.format_string("%.1f%%", share * 100)
+
+
+def summary_text(report: DataFrame) -> DataFrame:
+    """place, label, value of a summary() as it is shown."""
+    rows = (
+        ("Total calls", F.col("total_calls").cast("string")),
+        ("Success rate", percent(F.col("success_rate"))),
+        ("Avg latency", F.format_string("%.0fms", "avg_latency_ms")),
+        ("Token saved", T.human_number(F.col("tokens_saved"))),
+        ("Bytes saved", T.human_bytes(F.col("bytes_saved"))),
+        ("Compression hits", F.concat(F.col("compression_hits").cast("string"), F.lit("/"), F.col("compression_eligible_calls").cast("string"), F.lit(" ("), percent(F.col("compression_hit_rate")), F.lit(")"))),
+        ("Savings ratio", F.concat(T.progress_bar(F.col("savings_ratio"), 24), F.lit(" "), percent(F.col("savings_ratio")))),
+    )
+    each = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(label).alias("label"), value.alias("value")) for k, (label, value) in enumerate(rows)])
+    return report.select(F.inline(each))
+
+
+def tool_text(report: DataFrame) -> DataFrame:
+    """by_tool() as texts, for a table."""
+    return report.select("tool", F.col("calls").cast("string").alias("calls"), F.col("errors").cast("string").alias("errors"), T.human_number(F.col("tokens_saved")).alias("tokens_saved"), T.human_bytes(F.col("bytes_saved")).alias("bytes_saved"))
+
+
+def command_text(report: DataFrame) -> DataFrame:
+    """top_commands() as texts, for a table."""
+    return report.select(T.truncated_middle(F.col("command"), 42).alias("command"), F.col("calls").cast("string").alias("calls"), T.human_number(F.col("tokens_saved")).alias("tokens_saved"), percent(F.col("saved_ratio")).alias("saved_ratio"), F.format_string("%.0f", "avg_latency_ms").alias("avg_latency_ms"))
+
+
+def aligned(head: tuple[str, ...], rows: list[tuple]) -> str:
+    """A table of text, columns two spaces apart under a ruled heading."""
+    wide = [max(map(len, column)) for column in zip(head, *rows, strict=True)]
+    line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, wide, strict=True)).rstrip()
+    return "\n".join([line(head), line(tuple("-" * w for w in wide)), *map(line, rows)])
+
+
+def as_text(rows: DataFrame, window: str, project: str | None = None, top: int = 10, tools: Tools = Tools()) -> str:
+    """The whole report as text; its parts, a few rows each, come to the driver."""
+    first = [(r["label"], r["value"]) for r in summary_text(summary(rows)).orderBy("place").collect()]
+    wide = max(len(label) for label, _ in first)
+    tool = [tuple(r) for r in tool_text(by_tool(rows)).collect()]
+    commands = [(str(k), *r) for k, r in enumerate(command_text(top_commands(rows, top, tools)).collect(), 1)]
+    heading = f"Metrics ({window})" + (f" — {project}" if project else "")
+    parts = [heading, "", "Summary", *[f"{label:<{wide}}  {value}" for label, value in first], "", "By Tool", aligned(("Tool", "Calls", "Errors", "Tokens saved", "Bytes saved"), tool)]
+    parts += ["", f"Top Shell Commands (top {len(commands)} by token savings)", aligned(("#", "Command", "Calls", "Tokens saved", "Saved%", "Avg ms"), commands)]
+    return "\n".join(parts)
+
+
 def shown(report: DataFrame) -> DataFrame:
     """Counts of a by-tool or top-commands table in short form."""
     return report.withColumns({"calls_text": T.human_number(F.col("calls")), "saved_text": T.human_number(F.col("tokens_saved"))})

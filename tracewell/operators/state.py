@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.work import stored
+
 #: Hours and bytes for which outputs are kept.
 KEEP_HOURS, KEEP_BYTES = 24, 256 << 20
 
@@ -58,12 +60,26 @@ def status_lines(registry: DataFrame) -> DataFrame:
 def retained(spool: DataFrame, now: Column, hours: int = KEEP_HOURS, most: int = KEEP_BYTES, group: str | None = None) -> DataFrame:
     """Entries young enough, newest first as long as they fit together; of equal times the larger run id is newer.
 
-    The running sum is one window for each `group`; without a group, for the whole catalogue, which is a table of
-    one machine's outputs.
+    The entries of each `group` (all without one) stand by time in range partitions; each partition's totals (a row for
+    each partition and group) give what is newer beyond it, so no group however large meets in one task.
     """
-    young = spool.filter(F.col("mtime") >= now - F.expr(f"INTERVAL {hours} HOURS"))
-    order = Window.partitionBy(F.lit(0) if group is None else F.col(group)).orderBy("mtime", "run_id").rowsBetween(0, Window.unboundedFollowing)
-    return young.withColumn("newer_bytes", F.sum("total_bytes").over(order)).filter(F.col("newer_bytes") <= most)
+    key = F.lit(0) if group is None else F.col(group)
+    young = spool.filter(F.col("mtime") >= now - F.expr(f"INTERVAL {hours} HOURS")).withColumn("__group", key)
+    placed = stored(young.repartitionByRange("__group", "mtime", "run_id").withColumn("__part", F.spark_partition_id()), "spool-parts")
+    inside = Window.partitionBy("__part", "__group").orderBy("mtime", "run_id").rowsBetween(0, Window.unboundedFollowing)
+    placed = placed.withColumn("newer_bytes", F.sum("total_bytes").over(inside))
+    # what a partition sums up to stands on its oldest row of the group
+    totals = placed.groupBy("__group", "__part").agg(F.max("newer_bytes").alias("total"))
+    beyond = F.coalesce(F.sum("total").over(Window.partitionBy("__group").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("__group").alias("__of"), F.col("__part").alias("__at"), beyond.alias("__beyond"))
+    both = placed.join(totals, F.col("__group").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__at")))
+    return both.withColumn("newer_bytes", F.col("newer_bytes") + F.col("__beyond")).filter(F.col("newer_bytes") <= most).drop("__group", "__part", "__of", "__at", "__beyond")
+
+
+def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The n last rows of each key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")
 
 
 def readable(spool: DataFrame, run_id: str, session_id: str, client: str | None) -> DataFrame:

@@ -7,11 +7,14 @@ symbols, an order line: a call of a supplier by a customer).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.operators import classify, graph, metrics, search, state
+from tracewell.operators.summarize import output_modes, summarized
+from tracewell.sources.work import work_folder
+from tracewell.streaming.sinks import event_sink
 from tracewell.plans.catalog import query, table
 
 
@@ -130,8 +133,7 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("last_n_events", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 2")
 def last_n_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("place", place).filter("place <= 2").select("user_id", "event_id", "ts")
+    return state.newest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 2).select("user_id", "event_id", "ts")
 
 
 # ---- search ----
@@ -422,10 +424,183 @@ def env_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").withColumn("r", place).filter(F.col("r") <= quota).select(F.col("c_mktsegment").alias("class"), "c_custkey")
 
 
-@query("output_mode", f"WITH f AS (SELECT doc_id, text, array_to_string(list_slice(string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)), 1, 8), chr(10)) || chr(10) AS short FROM documents) SELECT doc_id, CASE WHEN strlen(short) < strlen(text) THEN 'compressed' ELSE 'raw_fallback' END AS mode FROM f")
+TRIMMED = "list_filter(list_transform(string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(
+    "output_mode",
+    f"""WITH f AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE {TRIMMED} END AS rows_ FROM documents),
+    s AS (SELECT doc_id, text, 'cat_lines=' || len(rows_) || '; bytes=' || strlen(text) || chr(10) || array_to_string(list_transform(rows_[1:8], lambda x: '- ' || x || chr(10)), '') AS short FROM f)
+    SELECT doc_id, CASE WHEN strlen(short) < strlen(text) THEN 'compressed' ELSE 'raw_fallback' END AS mode FROM s""",
+)
 def output_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.concat(F.array_join(F.slice(T.lines(F.col("text")), 1, 8), "\n"), F.lit("\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.octet_length(short) < F.octet_length("text"), "compressed").otherwise("raw_fallback").alias("mode"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("cat"), F.lit("f")).alias("argv"), F.col("text").alias("stdout"))
+    return output_modes(summaries(docs)).select("doc_id", "mode")
+
+
+# ---- summaries of captured runs, one for each family of commands ----
+
+
+def summaries(runs: DataFrame) -> DataFrame:
+    """Runs of argv and stdout, classified and summarised."""
+    return summarized(classify.classified(runs.withColumns({"stderr": F.lit(""), "exit_code": F.lit(0)})))
+
+
+def outputs(rows: DataFrame, key: str, order: str, line, command: str, head: str | None = None) -> DataFrame:
+    """A run for each key whose output has a line for each row, in order."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), line.alias("line")))), lambda x: x["line"])
+    every = F.concat(F.array(F.lit(head)), ordered) if head else ordered
+    return rows.groupBy(key).agg(F.array_join(every, "\n").alias("stdout")).withColumn("argv", F.split(F.lit(command), " "))
+
+
+def _of_family(name: str, sql: str):
+    """Registers a query that gives, for each run, its key, label, headline and details as one text."""
+
+    def put(f):
+        @query(f"summary_{name}", sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            runs = f(spark, sf_dir)
+            s = F.col("summary")
+            return summaries(runs).select(runs.columns[0], "label", s["summary"].alias("headline"), F.array_join(s["details"], "|").alias("details"))
+
+        return run
+
+    return put
+
+
+def texts(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.col(p[0]).cast("string") if isinstance(p, tuple) else p for p in parts])
+
+
+HUNK = "CASE WHEN hunks = 1 THEN ' hunk' ELSE ' hunks' END"
+
+
+@_of_family(
+    "git",
+    f"""WITH {LINES}, m AS (SELECT doc_id, pos, CASE WHEN pos % 9 = 1 THEN '@@ x' WHEN pos % 3 = 0 THEN '+' || left(line, 20) WHEN pos % 3 = 1 THEN '-' || left(line, 20) ELSE ' ' || left(line, 20) END AS line FROM lines_),
+    s AS (SELECT doc_id, count(*) FILTER (starts_with(line, '+') AND NOT starts_with(line, '+++')) AS added, count(*) FILTER (starts_with(line, '-') AND NOT starts_with(line, '---')) AS removed, count(*) FILTER (starts_with(line, '@@')) AS hunks FROM m GROUP BY 1),
+    c AS (SELECT doc_id, array_to_string(list(regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '^ | $', '', 'g') ORDER BY pos)[1:3], ' | ') AS first_changes FROM m WHERE ((starts_with(line, '+') AND NOT starts_with(line, '+++')) OR (starts_with(line, '-') AND NOT starts_with(line, '---'))) AND strlen(regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '^ | $', '', 'g')) > 1 GROUP BY 1)
+    SELECT s.doc_id, 'git.diff' AS label, '1 files changed, ' || hunks || ' hunks, +' || added || '/-' || removed AS headline,
+    'f' || s.doc_id || ' (' || CASE WHEN added + removed > 0 THEN '+' || added || '/-' || removed || ', ' ELSE '' END || hunks || {HUNK} || ') — @@ x' || coalesce(' | ' || first_changes, '') AS details FROM s LEFT JOIN c USING (doc_id)""",
+)
+def summary_git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos, line = F.col("pos"), F.substring("line", 1, 20)
+    marked = F.when(pos % 9 == 1, F.lit("@@ x")).when(pos % 3 == 0, texts("+", line)).when(pos % 3 == 1, texts("-", line)).otherwise(texts(" ", line))
+    runs = outputs(doc_lines(spark, sf_dir), "doc_id", "pos", marked, "git diff")
+    return runs.withColumn("stdout", texts("diff --git a/f", ("doc_id",), " b/f", ("doc_id",), "\n", F.col("stdout")))
+
+
+@_of_family(
+    "docker",
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'Exited (0)' ELSE 'Up 2 hours' END AS state, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+    SELECT o_custkey, 'docker.ps' AS label, count(*) || ' containers; ' || count(*) FILTER (state <> 'Exited (0)') || ' running' AS headline, string_agg('c' || o_orderkey || ' — ' || o_orderpriority || ' (' || state || ')', '|' ORDER BY place) FILTER (place <= 8) AS details FROM r GROUP BY 1""",
+)
+def summary_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state_ = F.when(F.col("o_orderstatus") == "F", "Exited (0)").otherwise("Up 2 hours")
+    row = texts(("o_orderkey",), "   ", ("o_orderpriority",), "   run   ", state_, "   c", ("o_orderkey",))
+    return outputs(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", row, "docker ps", "CONTAINER ID   IMAGE   COMMAND   STATUS   NAMES")
+
+
+def _place(line: str) -> str:
+    """Places of an order's lines: line numbers repeat, then the text decides."""
+    return f"row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {line}) AS place"
+
+
+
+@_of_family(
+    "k8s",
+    f"""WITH q AS (SELECT *, CASE l_returnflag WHEN 'R' THEN 'Running' WHEN 'A' THEN 'Pending' ELSE 'Error' END AS state, l_linenumber - 1 AS again FROM lineitem), r AS (SELECT *, {_place("'p' || l_partkey || ' 1/1 ' || state")} FROM q)
+    SELECT l_orderkey, 'k8s.kubectl-pods' AS label, count(*) || ' pods | running=' || count(*) FILTER (state = 'Running') || ' pending=' || count(*) FILTER (state = 'Pending') || ' failed=' || count(*) FILTER (state = 'Error') || ' restarts=' || sum(again) AS headline,
+    string_agg('p' || l_partkey || ' ' || state || CASE WHEN again <> 0 THEN ' (' || again || ' restarts)' ELSE '' END, '|' ORDER BY place) FILTER (place <= 8) AS details FROM r GROUP BY 1""",
+)
+def summary_k8s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state_ = F.when(F.col("l_returnflag") == "R", "Running").when(F.col("l_returnflag") == "A", "Pending").otherwise("Error")
+    row = texts("p", ("l_partkey",), " 1/1 ", state_, " ", (F.col("l_linenumber") - 1).cast("string"), " 1d")
+    return outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", row, "kubectl get pods", "NAME READY STATUS RESTARTS AGE")
+
+
+@_of_family(
+    "gh",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+    SELECT o_custkey, 'gh.pr' AS label, count(*) || ' PRs' AS headline, string_agg('#' || o_orderkey || ' ' || o_orderpriority, '|' ORDER BY place) FILTER (place <= 10) AS details FROM r GROUP BY 1""",
+)
+def summary_gh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", texts(("o_orderkey",), "\t", ("o_orderpriority",), "\tbranch"), "gh pr list")
+
+
+@_of_family(
+    "python",
+    """WITH r AS (SELECT *, 'src/p' || (l_partkey % 3) || '.py' AS file FROM lineitem), f AS (SELECT l_orderkey, file, count(*) AS n, string_agg('  L' || l_linenumber || ': [' || l_returnflag || '] bad', '|' ORDER BY l_linenumber, l_returnflag) AS rows_ FROM r GROUP BY 1, 2),
+    c AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT l_orderkey, count(*) AS kinds, string_agg(l_returnflag || ' (' || n || 'x)', ', ' ORDER BY n DESC, l_returnflag) AS top FROM c GROUP BY 1)
+    SELECT f.l_orderkey, 'python.mypy' AS label, 'mypy: ' || sum(n) || ' errors in ' || count(*) || CASE WHEN count(*) = 1 THEN ' file' ELSE ' files' END AS headline,
+    CASE WHEN any_value(kinds) > 1 THEN 'Top codes: ' || any_value(top) || '||' ELSE '' END || string_agg(file || ' (' || n || ' errors)|' || rows_, '|' ORDER BY n DESC, file) AS details FROM f JOIN t USING (l_orderkey) GROUP BY 1""",
+)
+def summary_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = texts("src/p", (F.col("l_partkey") % 3).cast("string"), ".py:", ("l_linenumber",), ": error: bad  [", ("l_returnflag",), "]")
+    return outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", row, "mypy .")
+
+
+@_of_family(
+    "lint",
+    """WITH r AS (SELECT l_orderkey, 'src/p' || (l_partkey % 3) || '.js' AS file, 'r' || l_returnflag AS rule, l_linestatus = 'O' AS error FROM lineitem),
+    a AS (SELECT l_orderkey, rule, count(*) AS n FROM r GROUP BY 1, 2), top AS (SELECT l_orderkey, string_agg('  ' || rule || ' (' || n || 'x)', '|' ORDER BY n DESC, rule) AS rules FROM a GROUP BY 1),
+    b AS (SELECT l_orderkey, file, rule, count(*) AS n FROM r GROUP BY 1, 2, 3), c AS (SELECT l_orderkey, file, sum(n) AS n, string_agg('    ' || rule || ' (' || n || ')', '|' ORDER BY n DESC, rule) AS own FROM b GROUP BY 1, 2),
+    d AS (SELECT l_orderkey, string_agg('  ' || file || ' (' || n || ' issues)|' || own, '|' ORDER BY n DESC, file) AS files FROM c GROUP BY 1),
+    h AS (SELECT l_orderkey, count(*) FILTER (error) AS e, count(*) FILTER (NOT error) AS w, count(DISTINCT file) AS f FROM r GROUP BY 1)
+    SELECT l_orderkey, 'lint.eslint' AS label, 'ESLint: ' || e || CASE WHEN e = 1 THEN ' error, ' ELSE ' errors, ' END || w || CASE WHEN w = 1 THEN ' warning in ' ELSE ' warnings in ' END || f || CASE WHEN f = 1 THEN ' file' ELSE ' files' END AS headline,
+    'Top rules:|' || rules || '||Top files:|' || files AS details FROM h JOIN top USING (l_orderkey) JOIN d USING (l_orderkey)""",
+)
+def summary_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_linestatus") == "O", "Error").otherwise("Warning")
+    row = texts("src/p", (F.col("l_partkey") % 3).cast("string"), ".js:", ("l_linenumber",), ":1: Bad. [", kind, "/r", ("l_returnflag",), "]")
+    return outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", row, "eslint .")
+
+
+@query(
+    "summary_test",
+    """SELECT l_orderkey, 'test.go' AS label, 'PASS (' || count(*) FILTER (l_returnflag = 'N') || ') FAIL (' || count(*) FILTER (l_returnflag = 'R') || ')' || CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN ' skipped (' || count(*) FILTER (l_returnflag = 'A') || ')' ELSE '' END AS headline FROM lineitem GROUP BY 1""",
+)
+def summary_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("l_returnflag") == "N", "pass").when(F.col("l_returnflag") == "R", "fail").otherwise("skip")
+    row = texts('{"Action":"', action, '","Package":"p","Test":"T', ("l_linenumber",), '"}')
+    runs = outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", row, "go test ./...")
+    return summaries(runs).select("l_orderkey", "label", F.col("summary.summary").alias("headline"))
+
+
+@_of_family(
+    "rust",
+    """SELECT o_custkey, 'rust.cargo-test' AS label, 'cargo test: ' || sum(o_orderkey % 50) || ' passed; 0 failed; ' || sum(o_orderkey % 3) || ' ignored; 0 measured; ' || sum(o_orderkey % 7) || ' filtered out; finished in ' || max(o_orderkey % 9) || '.00s' AS headline, '' AS details FROM orders GROUP BY 1""",
+)
+def summary_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda k: (F.col("o_orderkey") % k).cast("string")
+    row = texts("test result: ok. ", n(50), " passed; 0 failed; ", n(3), " ignored; 0 measured; ", n(7), " filtered out; finished in ", n(9), ".00s")
+    return outputs(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", row, "cargo test")
+
+
+@_of_family(
+    "node",
+    f"""WITH r AS (SELECT *, {_place("'added  ' || l_partkey || ' packages'")} FROM lineitem) SELECT l_orderkey, 'node.npm' AS label, string_agg('added ' || l_partkey || ' packages', '' ) FILTER (place = 1) AS headline, coalesce(string_agg('added ' || l_partkey || ' packages', '|' ORDER BY place) FILTER (place > 1), '') AS details FROM r GROUP BY 1""",
+)
+def summary_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", texts("added  ", ("l_partkey",), " packages"), "npm install")
+
+
+@_of_family(
+    "build",
+    f"""WITH r AS (SELECT *, {_place("'p' || (l_partkey % 3) || '.ts(' || l_linenumber || ',1): error TS' || l_suppkey || ': x'")} FROM lineitem) SELECT l_orderkey, 'build.tsc' AS label, 'TypeScript: ' || count(*) || ' errors in ' || count(DISTINCT l_partkey % 3) || ' files' AS headline, string_agg('p' || (l_partkey % 3) || '.ts(' || l_linenumber || ',1): error TS' || l_suppkey || ': x', '|' ORDER BY place) FILTER (place <= 8) AS details FROM r GROUP BY 1""",
+)
+def summary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = texts("p", (F.col("l_partkey") % 3).cast("string"), ".ts(", ("l_linenumber",), ",1): error TS", ("l_suppkey",), ": x")
+    return outputs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", row, "tsc -p .")
+
+
+@_of_family(
+    "generic",
+    f"""WITH {LINES}, h AS (SELECT doc_id, pos, 'f' || (pos % 2) || ':' || pos || ':x' AS hit, row_number() OVER (PARTITION BY doc_id, pos % 2 ORDER BY pos) AS place FROM lines_), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM h WHERE place <= 25), n AS (SELECT doc_id, count(*) AS every FROM h GROUP BY 1)
+    SELECT doc_id, 'generic.rg' AS label, '' AS headline, string_agg(hit, '|' ORDER BY pos) FILTER (nth <= 200) || CASE WHEN any_value(every) > count(*) FILTER (nth <= 200) THEN '|+ ' || (any_value(every) - count(*) FILTER (nth <= 200)) || ' more matches' ELSE '' END AS details FROM k JOIN n USING (doc_id) GROUP BY 1""",
+)
+def summary_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs(doc_lines(spark, sf_dir), "doc_id", "pos", texts("f", (F.col("pos") % 2).cast("string"), ":", ("pos",), ":x"), "rg x")
 
 
 COMMANDS = {"git status": "git.status", "docker compose logs web": "docker.logs", "uv run pytest -q": "python.pytest", "npx eslint .": "lint.eslint", "go test ./...": "test.go", "cargo clippy": "rust.cargo-clippy", "gh pr list": "gh.pr", "kubectl get pods": "k8s.kubectl-pods", "tsc -p .": "build.tsc", "rg --files": "generic.rg-files", "yarn add x": "node.yarn", "frob": "unknown"}
@@ -484,3 +659,41 @@ def spool_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     spool = events.select(F.col("event_id").alias("run_id"), F.col("ts").alias("mtime"), F.floor(F.col("value") * 100).cast("long").alias("total_bytes"), (F.col("user_id") % 3).alias("machine"))
     return state.retained(spool, last_event(events), 240, 200_000, "machine").select("run_id", "total_bytes")
+
+
+@query("stream_event_sink", "SELECT DISTINCT CAST(event_id AS VARCHAR) AS event_id, user_id, event_type FROM events")
+def stream_event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log, each event twice, through the sink until all is taken; then what it stored."""
+    stored = work_folder(spark, "events")
+    log = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    twice = log.withColumn("event_id", F.explode(F.array(F.col("event_id").cast("string"), F.col("event_id").cast("string"))))
+    event_sink(twice, f"{stored}/out", f"{stored}/checkpoint", every=None, late="10000 days").awaitTermination()
+    return spark.read.parquet(f"{stored}/out").select("event_id", "user_id", "event_type")
+
+
+# ---- reports as text ----
+
+
+@query(
+    "outline_text",
+    GRAPH + """, s AS (SELECT file_id, string_agg('    ' || start_line || ': [' || kind || '] ' || name, chr(10) ORDER BY start_line, name) AS symbols FROM nodes GROUP BY 1)
+    SELECT path, path || ' [unknown]' || CASE WHEN symbols IS NULL THEN chr(10) || '  (no indexed symbols)' ELSE chr(10) || '  symbols:' || chr(10) || symbols END AS text FROM files LEFT JOIN s ON s.file_id = files.id""",
+)
+def outline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = order_graph(spark, sf_dir)
+    return graph.outline_texts(g | {"refs": g["refs"].filter("line < 0")})
+
+
+@query("references_text", GRAPH + "SELECT 'References for `" + CUSTOMER + "` (kind=callees): ' || count(*) || ' result(s)' || chr(10) || chr(10) || string_agg(file || ':' || line || ' [' || sym_kind || '] ' || symbol || ' — ' || ref_kind, chr(10) ORDER BY file, line, ref_kind, symbol) AS text FROM (SELECT DISTINCT * FROM (" + OUTBOUND.format(label="'callee'", name=CUSTOMER, kind="e.kind = 'calls'") + "))")
+def references_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.references_text(graph.references(order_graph(spark, sf_dir), CUSTOMER, "callees"), CUSTOMER, "callees")
+
+
+@query(
+    "metrics_text",
+    LOG + """SELECT tool, CAST(count(*) AS VARCHAR) AS calls, CAST(count(*) FILTER (NOT ok) AS VARCHAR) AS errors, CASE WHEN t >= 1000000 THEN printf('%.1fM', t / 1000000.0) WHEN t >= 1000 THEN printf('%.1fK', t / 1000.0) ELSE CAST(t AS VARCHAR) END AS tokens_saved,
+    CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0) ELSE CAST(b AS VARCHAR) || ' B' END AS bytes_saved
+    FROM (SELECT *, coalesce(sum(saved) FILTER (saving) OVER (PARTITION BY tool), 0) AS t, coalesce(sum(saved_b) FILTER (saving) OVER (PARTITION BY tool), 0) AS b FROM rows_) GROUP BY tool, t, b""",
+)
+def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.tool_text(metrics.by_tool(metrics.measured(event_log(spark, sf_dir))))

@@ -6,7 +6,6 @@ import sys
 import ast
 import re
 from collections.abc import Iterator
-from fnmatch import translate
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -24,22 +23,48 @@ LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "jsx"
 OUTLINE_PREFIXES = ["# ", "## ", "### ", "fn ", "pub fn ", "async fn ", "pub async fn ", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "impl ", "class ", "def ", "async def ", "function ", "export "]
 
 
-def ignore_pattern(rules: list[str]) -> str:
-    """One regular expression for the rules of an ignore file; rules that begin with ! aren't supported and raise."""
-    parts = []
-    for rule in (r.strip() for r in rules):
-        if not rule or rule.startswith("#"):
-            continue
-        if rule.startswith("!"):
-            raise ValueError("an ignore rule that takes files back")
-        body = re.sub(r"^\(\?s:|\)\\[zZ]$", "", translate(rule.strip("/")).replace(".*", "[^/]*"))
-        parts.append((r"^" if rule.startswith("/") or "/" in rule.strip("/") else r"(^|/)") + body + r"(/|$)")
-    return "|".join(parts) or r"(?!)"
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: * and ? stay within a folder, ** goes across folders, [..] is a class."""
+    out, at = "", 0
+    while at < len(glob):
+        rest = glob[at:]
+        if rest.startswith("**/"):
+            out, at = out + "(?:.*/)?", at + 3
+        elif rest.startswith("**"):
+            out, at = out + ".*", at + 2
+        elif found := re.match(r"\[([!^]?)([^\]]+)\]", rest):
+            out, at = out + f"[{'^' if found[1] else ''}{found[2]}]", at + found.end()
+        elif rest.startswith("\\") and len(rest) > 1:
+            out, at = out + re.escape(rest[1]), at + 2
+        else:
+            out, at = out + {"*": "[^/]*", "?": "[^/]"}.get(rest[0], re.escape(rest[0])), at + 1
+    return out
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether the rules of an ignore file leave a file out: the last rule that matches it decides, a rule that begins
+    with ! takes it back; if none matches, its folder decides, and so on up. A rule that ends in / is for folders only."""
+    known = [r.strip() for r in rules if r.strip() and not r.strip().startswith("#")]
+    if not known:
+        return F.lit(False)
+    parts = F.split(path, "/")
+
+    def decision(level: Column) -> Column:
+        cases = []
+        for rule in reversed(known):
+            body = rule.removeprefix("!")
+            anchored = "/" in body.rstrip("/")
+            match = level["path"].rlike(("^" if anchored else "^(?:.*/)?") + glob_pattern(body.strip("/")) + "$")
+            cases.append(F.when(match & level["folder"] if body.endswith("/") else match, F.lit(not rule.startswith("!"))))
+        return F.coalesce(*cases)
+
+    levels = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("folder")))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(levels, decision), lambda x: x.isNotNull()), F.lit(1)), F.lit(False))
 
 
 def visible(path: Column, rules: list[str] = (), own: str = ".tracewell") -> Column:
     """Neither hidden nor ignored nor in the engine's own folder."""
-    return ~path.rlike(r"(^|/)\.[^/]") & ~path.rlike(ignore_pattern([*rules, own]))
+    return ~path.rlike(r"(^|/)\.[^/]") & ~ignored(path, [*rules, f"{own}/"])
 
 
 def language(path: Column) -> Column:
