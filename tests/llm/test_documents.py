@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -106,6 +107,26 @@ def test_op3(spark):
     assert got.decoded_sha256.tolist() == [sha(library.decode(x.ids, skip_special_tokens=False)) for x in coded]
 
 
+def test_a_class_of_counts_larger_than_the_lexicon_is_cut(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))) for i in range(5)], "doc_id long, text string")
+    from pyspark import SparkFiles
+
+    lexicon = transducer.open_lexicon(SparkFiles.get(bpe.build_lexicon(docs, WORDS, size=20)))
+    found = lexicon.places([f"word{chr(97 + k % 26)}{chr(97 + k // 26)}".encode() for k in range(60)])
+    assert (found >= 0).sum() == 20
+
+
+def test_sql_twins(spark):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name in ("op9_byte_shards", "op10_top_k"):
+        want, got = duck.sql(catalog.ORACLE[name]).df(), catalog.QUERIES[name](spark, SF).toPandas()
+        key = ["doc_id"] if "doc_id" in got else ["query_id", "rank"]
+        want, got = (x.sort_values(key).reset_index(drop=True)[sorted(x.columns)] for x in (want, got))
+        assert want.astype(object).where(want.notna(), None).values.tolist() == got.astype(object).where(got.notna(), None).values.tolist()
+
+
 def test_bpe_of_odd_tables(spark, odd_docs, no_docs):
     lexicon = bpe.build_lexicon(odd_docs, WORDS)
     out = bpe.encode_decode(odd_docs, WORDS, lexicon).collect()

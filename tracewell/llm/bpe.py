@@ -25,8 +25,10 @@ from tracewell.llm.transducer import Lexicon, build, open_lexicon
 
 #: Parts whose words make the lexicon, at most; how often one must occur in all documents.
 LEXICON_WORDS, LEAST_TIMES = 1 << 16, 4
-#: Distinct parts of texts whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Bytes of a part for the lexicon, at most: longer ones are merged.
+LEXICON_BYTES = 64
+#: Distinct parts of texts that a worker remembers, and ids of all of them; beyond either it begins anew.
+REMEMBERED, REMEMBERED_IDS = 600_000, 8_000_000
 #: Words of up to so many bytes are merged many at a time.
 SHORT = 40
 NEVER = np.int32(2**31 - 1)
@@ -235,7 +237,7 @@ class Encoder:
         """Ids of all texts end to end, and where each text's begin."""
         begins, ends, before = words.spans(data, offsets)
         codes, first, keys = words.distinct(data, begins, ends)
-        if self.memory.count > REMEMBERED:
+        if self.memory.count > REMEMBERED or self.lists.used > REMEMBERED_IDS:
             self.forget()
         number = self.memory.find(keys)
         new = np.flatnonzero(number < 0)
@@ -271,21 +273,25 @@ def _counted(path: str):
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Compiles the words of the most frequent parts between white space, counted over all documents, with their ids.
 
-    As many parts as fit into `size`, by classes of counts a twelfth apart, so that only these reach the driver.
+    The `size` most frequent parts of up to LEXICON_BYTES bytes, ties by their bytes. Classes of counts a twelfth apart
+    tell where the cut lies, so that only the class that holds it is ordered and only these parts reach the driver.
     Gives the name of the shared file. The lexicon makes encoding quicker and changes no id.
     """
     spark, bpe = docs.sparkSession, word_bpe(path)
     bounded_arrow(spark)
-    counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").filter(F.octet_length("part") <= LEXICON_BYTES).groupBy("part").agg(F.sum("n").alias("n"))
     counts = written(counts.filter(F.col("n") >= LEAST_TIMES).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "bpe-counts")
-    bins = sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True)  # some hundred rows
-    room, lowest = size, None
-    for k, many in bins:
-        room -= many
-        if room < 0:
+    room, edge = size, None
+    for k, many in sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True):  # some hundred rows
+        edge = k
+        if many >= room:
             break
-        lowest = k
-    parts = [] if lowest is None else [bytes(r["part"]) for r in counts.filter(F.col("bin") >= lowest).select("part").collect()]
+        room -= many
+    chosen = []
+    if edge is not None:
+        last = counts.filter(F.col("bin") == edge).orderBy(F.desc("n"), "part").limit(size)
+        chosen = counts.filter(F.col("bin") > edge).select("part").collect() + last.select("part").collect()
+    parts = [bytes(r["part"]) for r in chosen][:size]
     frequent = sorted({w for x in parts for w in bpe.split(x) if type(w) is bytes})
     return share(spark, "lexicon", build(frequent, bpe.merge(frequent)))
 

@@ -138,3 +138,11 @@ ORACLE["op10_top_k"] = """WITH v AS (SELECT vec_id, list_transform(embedding, la
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM r WHERE place <= 5"""
+
+#: The checksum goes byte by byte through a table of 256 entries that is made from its polynomial.
+ORACLE["op9_byte_shards"] = r"""WITH t AS (SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(list_concat([CAST(n AS BIGINT)], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size FROM documents),
+b AS (SELECT doc_id, size, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))), lambda c, x: xor(crcs[xor(c % 256, x) + 1], c // 256)), 4294967295) AS text_crc32 FROM d, t),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS every FROM b),
+p AS (SELECT *, CAST(least(23, (24 * (2 * upto - size)) // (2 * every)) AS INT) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""

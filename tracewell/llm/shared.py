@@ -38,7 +38,18 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         top = _own_folder()
-    return f"{top.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{top.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(folder)
+    return folder
+
+
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all work folders that this process made: when no result that reads them is needed any more."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -35,8 +35,8 @@ MAGIC = b"TWI1"
 BLOCK_IDS = 1 << 20
 #: Ids that a file has on average, at most.
 FILE_IDS = 1 << 24
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct pieces of text that a worker remembers, and ids of all of them; beyond either it begins anew.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 8_000_000
 
 # ---- the code ----
 
@@ -205,7 +205,7 @@ class Encoder:
         keep = ~whole[np.searchsorted(offsets, begins, "right") - 1]
         begins, ends = begins[keep], ends[keep]
         codes, first, keys = words.distinct(data, begins, ends)
-        if self.memory.count > REMEMBERED:
+        if self.memory.count > REMEMBERED or self.lists.used > REMEMBERED_IDS:
             self.forget()
         number = self.memory.find(keys)
         new = np.flatnonzero(number < 0)
