@@ -166,3 +166,15 @@ def test_vocabulary_counter(spark):
     df = spark.createDataFrame([("one two three",), (None,), ("",)], "text string")
     got = [r[0] for r in df.select(reads.vocabulary_counter(path)(F.col("text"))).collect()]
     assert got == [len(Tokenizer.from_file(path).encode("one two three", add_special_tokens=False).ids), None, 0]
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma"), (3, "delta")], "doc_id long, text string")
+    search.write_index(docs, "doc_id", ["text"], str(tmp_path))
+    found = lambda q: [r["key"] for r in search.search(*search.read_index(spark, str(tmp_path)), q, {"text": 1.0}).collect()]
+    direct = search.search(search.postings(docs, "doc_id", ["text"]), search.lengths(docs, "doc_id", ["text"]), "beta", {"text": 1.0})
+    assert sorted(found("beta")) == sorted(r["key"] for r in direct.collect()) == [1, 2]
+    search.write_index(spark.createDataFrame([(2, "epsilon"), (4, "beta")], docs.schema), "doc_id", ["text"], str(tmp_path), call=1)
+    assert sorted(found("beta")) == [1, 4] and found("epsilon") == [2] and found("gamma") == []
+    posts = search.read_index(spark, str(tmp_path))[0].filter(F.col("term") == "beta")
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,beta)" in posts._jdf.queryExecution().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
@@ -42,6 +42,25 @@ def lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return docs.select(F.col(key).alias("key"), size.cast("long").alias("size"))
 
 
+def write_index(docs: DataFrame, key: str, columns: list[str], folder: str, call: int = 0) -> None:
+    """Stores postings in the order of terms, so that a search reads few row groups, and the documents' lengths.
+
+    Changed documents are added with a larger `call`: of a key only the rows of the largest one count. A document
+    without text takes back its terms.
+    """
+    ordered = postings(docs, key, columns).repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    ordered.withColumn("call", F.lit(call)).write.mode("append").parquet(f"{folder}/postings")
+    lengths(docs, key, columns).withColumn("call", F.lit(call)).write.mode("append").parquet(f"{folder}/lengths")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of a stored index."""
+    posts, sizes = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+    last = sizes.groupBy("key").agg(F.max(F.struct("call", "size")).alias("last")).select("key", "last.*")
+    # the filter on terms reaches the scan below the join
+    return posts.join(last.select("key", "call"), ["key", "call"], "left_semi").drop("call"), last.drop("call")
+
+
 def phrases(query: str) -> list[list[str]]:
     """The phrases of a query: operators and signs dropped, each word a phrase of its terms, the last one a prefix."""
     words = [w for w in re.sub(r"['\"*():^]", "", query.replace("::", " ")).split() if w.upper() not in ("AND", "OR", "NOT", "NEAR")]
@@ -58,12 +77,15 @@ def search(posts: DataFrame, sizes: DataFrame, query: str, weights: dict[str, fl
     found = phrases(query)
     if not found:
         return posts.select("key", F.lit(0.0).alias("score")).limit(0)
-    hits = None
+    # one pass over the postings: each gives a row for every place of the query that it matches
+    marks = []
     for number, phrase in enumerate(found):
         for at, term in enumerate(phrase):
             match = F.col("term").startswith(term) if at == len(phrase) - 1 else F.col("term") == term
-            part = posts.filter(match).select(F.lit(number).alias("phrase"), F.lit(at).alias("at"), "key", "column", (F.col("pos") - at).alias("start"))
-            hits = part if hits is None else hits.unionByName(part)
+            marks.append((match, F.struct(F.lit(number).alias("phrase"), F.lit(at).alias("at"))))
+    known = posts.filter(reduce(lambda a, b: a | b, [match for match, _ in marks]))
+    each = F.filter(F.array(*[F.when(match, mark) for match, mark in marks]), lambda x: x.isNotNull())
+    hits = known.select("key", "column", "pos", F.inline(each)).select("phrase", "at", "key", "column", (F.col("pos") - F.col("at")).alias("start"))
     long = F.element_at(F.array(*[F.lit(len(p)) for p in found]), F.col("phrase") + 1)
     if max(map(len, found)) > 1:
         hits = hits.groupBy("phrase", "key", "column", "start").agg(F.count_distinct("at").alias("parts")).filter(F.col("parts") == long)

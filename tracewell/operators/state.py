@@ -66,7 +66,7 @@ def retained(spool: DataFrame, now: Column, hours: int = KEEP_HOURS, most: int =
     key = F.lit(0) if group is None else F.col(group)
     young = spool.filter(F.col("mtime") >= now - F.expr(f"INTERVAL {hours} HOURS")).withColumn("__group", key)
     placed = stored(young.repartitionByRange("__group", "mtime", "run_id").withColumn("__part", F.spark_partition_id()), "spool-parts")
-    inside = Window.partitionBy("__part", "__group").orderBy("mtime", "run_id").rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy("__part", "__group").orderBy(F.desc("mtime"), F.desc("run_id")).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("newer_bytes", F.sum("total_bytes").over(inside))
     # what a partition sums up to stands on its oldest row of the group
     totals = placed.groupBy("__group", "__part").agg(F.max("newer_bytes").alias("total"))
