@@ -99,6 +99,17 @@ def test_state(spark):
     assert sorted(r["run_id"] for r in state.retained(spool, F.lit(at(5)), 24, 100).collect()) == ["c", "d"]
 
 
+def test_running_sum_of_a_hot_key(spark):
+    rows = [("hot" if k % 3 else None if k % 2 else f"k{k % 7}", k * 37 % 400, k, k % 5 - 1 if k % 11 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "key string, t int, id int, v int")
+    want, sums = {}, {}
+    for key, _, id_, v in sorted(rows, key=lambda r: (-r[1], r[2])):
+        want[id_] = sums[key] = sums.get(key, 0) + (v or 0)
+    got = state.running_sum(df, ["key"], [F.desc("t"), F.col("id")], F.col("v"), "total")
+    assert got.columns == [*df.columns, "total"] and {r["id"]: r["total"] for r in got.collect()} == want
+    assert state.running_sum(df.limit(0), ["key"], [F.col("t")], F.col("v"), "total").count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("import os\nclass A:\n    def f(self):\n        return os.getcwd()\n")

@@ -1,5 +1,8 @@
 """Golden cases of captured runs: label, headline, details."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,37 @@ def test_modes(spark):
     out = output_modes(summarized(classified(spark.createDataFrame(data, SCHEMA)))).withColumn("short", rendered()).orderBy("run_id").collect()
     assert [r["mode"] for r in out] == ["raw_fallback", "compressed", "raw_fallback"]
     assert out[1]["short"].startswith("200 lines | ") and out[1]["short"].endswith("- + 160 more lines\n")
+
+
+def test_array_helpers_against_plain_python(spark):
+    from tracewell.operators.summarize.base import joined_blocks, tallied
+    from tracewell.operators.summarize.generic import capped_hits  # its columns need a session
+
+    draw = random.Random(1)
+    line = lambda: draw.choice("abcde") + draw.choice(["", ":", ":x"]) + draw.choice(["", "S", "E"])
+    df = spark.createDataFrame([([line() for _ in range(n)],) for n in (0, 1, 2, 5, 40, 300, 900)], "a array<string>")
+    a = F.col("a")
+    for r in df.select("a", tallied(a).alias("t"), capped_hits(a).alias("c"), joined_blocks(a, lambda x: x.endswith("S"), lambda x: x.endswith("E")).alias("b")).collect():
+        counts, seen, hits, blocks, on = collections.Counter(r["a"]), collections.Counter(), [], [], False
+        for x in r["a"]:
+            seen[x.split(":")[0]] += 1
+            if seen[x.split(":")[0]] <= 25:
+                hits.append(x)
+            if x.endswith("S"):
+                blocks.append([x])
+                on = True
+            elif on and not x.endswith("E"):
+                blocks[-1].append(x)
+            else:
+                on = False
+        assert [(x["key"], x["n"]) for x in r["t"]] == sorted(counts.items(), key=lambda p: (-p[1], p[0]))
+        assert r["c"] == hits[:200] and r["b"] == ["\n".join(b) for b in blocks]
+
+
+def test_array_helpers_take_long_runs(spark):
+    from tracewell.operators.summarize.base import joined_blocks, tallied
+    from tracewell.operators.summarize.generic import capped_hits  # its columns need a session
+
+    a = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat((i % 5000).cast("string"), F.lit(":x")))
+    held = spark.range(1).select(a.alias("a")).select(F.size(tallied(F.col("a"))), F.size(capped_hits(F.col("a"))), F.size(joined_blocks(F.col("a"), lambda x: x.startswith("1"), lambda x: x.startswith("2"))))
+    assert list(held.first()) == [5000, 200, 22220]

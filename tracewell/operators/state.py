@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,23 @@ from tracewell.sources.work import stored
 KEEP_HOURS, KEEP_BYTES = 24, 256 << 20
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """The rows with `name`: the sum of a value over the rows of equal keys up to this one. A null value counts as 0.
+
+    The rows stand by keys and order in range partitions; each partition's totals (a row for each partition and key) give
+    what comes before it, so no key however frequent meets in one task.
+    """
+    valued = rows.withColumn(name, F.coalesce(value, F.lit(0)))
+    placed = stored(valued.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "running-parts")
+    totals = placed.groupBy(*keys, "__part").agg(F.sum(name).alias("total"))
+    before = F.sum("total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__part").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn(name, F.sum(name).over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], F.col("__part") == F.col("__at"))
+    return placed.join(totals, same).withColumn(name, F.col(name) + F.col("__before")).select(*rows.columns, name)
+
+
 def unchanged_reads(reads: DataFrame, resets: DataFrame) -> DataFrame:
     """The reads with `unchanged`: a full read whose content is that of the last full read of the file by the same
     connection and window since its last reset. Excerpts neither look at what was read nor count as read.
@@ -21,8 +40,7 @@ def unchanged_reads(reads: DataFrame, resets: DataFrame) -> DataFrame:
     marks = resets.select("connection_id", "cw_id", "ts", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("is_excerpt"), F.lit(1).alias("reset"))
     wide = marks.filter("connection_id is null").drop("connection_id").join(reads.select(*keys).distinct(), "cw_id").select(marks.columns)
     log = reads.select("connection_id", "cw_id", "ts", "path", "content_hash", "is_excerpt", F.lit(0).alias("reset")).unionByName(marks.filter("connection_id is not null")).unionByName(wide)
-    epoch = F.sum("reset").over(Window.partitionBy(*keys).orderBy("ts", F.desc("reset")).rowsBetween(Window.unboundedPreceding, 0))
-    full = log.withColumn("epoch", epoch).filter("reset = 0")
+    full = running_sum(log, keys, [F.col("ts"), F.desc("reset")], F.col("reset"), "epoch").filter("reset = 0")
     last = F.last(F.when(~F.col("is_excerpt"), F.col("content_hash")), ignorenulls=True)
     before = last.over(Window.partitionBy(*keys, "epoch", "path").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
     return full.select(*keys, "ts", "path", "content_hash", "is_excerpt", F.coalesce(~F.col("is_excerpt") & (before == F.col("content_hash")), F.lit(False)).alias("unchanged"))
@@ -58,22 +76,12 @@ def status_lines(registry: DataFrame) -> DataFrame:
 
 
 def retained(spool: DataFrame, now: Column, hours: int = KEEP_HOURS, most: int = KEEP_BYTES, group: str | None = None) -> DataFrame:
-    """Entries young enough, newest first as long as they fit together; of equal times the larger run id is newer.
-
-    The entries of each `group` (all without one) stand by time in range partitions; each partition's totals (a row for
-    each partition and group) give what is newer beyond it, so no group however large meets in one task.
-    """
+    """Entries young enough, newest first as long as they fit together, in each `group` or, without one, in all; of equal
+    times the larger run id is newer."""
     key = F.lit(0) if group is None else F.col(group)
     young = spool.filter(F.col("mtime") >= now - F.expr(f"INTERVAL {hours} HOURS")).withColumn("__group", key)
-    placed = stored(young.repartitionByRange("__group", "mtime", "run_id").withColumn("__part", F.spark_partition_id()), "spool-parts")
-    inside = Window.partitionBy("__part", "__group").orderBy(F.desc("mtime"), F.desc("run_id")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("newer_bytes", F.sum("total_bytes").over(inside))
-    # what a partition sums up to stands on its oldest row of the group
-    totals = placed.groupBy("__group", "__part").agg(F.max("newer_bytes").alias("total"))
-    beyond = F.coalesce(F.sum("total").over(Window.partitionBy("__group").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(F.col("__group").alias("__of"), F.col("__part").alias("__at"), beyond.alias("__beyond"))
-    both = placed.join(totals, F.col("__group").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__at")))
-    return both.withColumn("newer_bytes", F.col("newer_bytes") + F.col("__beyond")).filter(F.col("newer_bytes") <= most).drop("__group", "__part", "__of", "__at", "__beyond")
+    newer = running_sum(young, ["__group"], [F.desc("mtime"), F.desc("run_id")], F.col("total_bytes"), "newer_bytes")
+    return newer.filter(F.col("newer_bytes") <= most).drop("__group")
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -97,5 +105,4 @@ def once(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 def epochs(events: DataFrame, key: str, ts: str, is_reset: Column) -> DataFrame:
     """With `epoch`: resets of the key so far, the row's own included."""
-    order = Window.partitionBy(key).orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("epoch", F.sum(is_reset.cast("int")).over(order))
+    return running_sum(events, [key], [F.col(ts), F.col("event_id")], is_reset.cast("int"), "epoch")

@@ -101,10 +101,30 @@ def matching(array: Column, pattern: str, group: int = 1) -> Column:
     return F.filter(F.transform(array, lambda x: part(x, pattern, group)), lambda x: x.isNotNull())
 
 
+def held(value: Column, body: Callable) -> Column:
+    """What `body` makes of a value that is computed once, however often the body's lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def runs_of(ordered: Column, key: Callable) -> Column:
+    """Where equal keys stand side by side in an ordered array: array of (at, n), the place from 0 and the length of each run."""
+
+    def found(items: Column) -> Column:
+        places = F.transform(items, lambda x, i: F.struct(i.alias("at"), ((i == 0) | ~key(x).eqNullSafe(key(F.get(items, i - 1)))).alias("opens")))
+        opened = F.filter(places, lambda p: p["opens"])
+        return held(opened, lambda o: F.transform(o, lambda p, k: F.struct(p["at"].alias("at"), (F.coalesce(F.get(o, k + 1)["at"], F.size(items)) - p["at"]).alias("n"))))
+
+    return held(ordered, found)
+
+
 def tallied(keys: Column) -> Column:
     """Each distinct key with how often it stands there, most frequent first, ties by key: array of (n, key)."""
-    pairs = F.transform(F.array_distinct(keys), lambda k: F.struct((-F.size(F.filter(keys, lambda x: x == k))).alias("order"), k.alias("key")))
-    return F.transform(F.array_sort(pairs), lambda p: F.struct((-p["order"]).alias("n"), p["key"].alias("key")))
+
+    def counted(ordered: Column) -> Column:
+        pairs = F.transform(runs_of(ordered, lambda x: x), lambda r: F.struct((-r["n"]).alias("order"), F.get(ordered, r["at"]).alias("key")))
+        return F.transform(F.array_sort(pairs), lambda p: F.struct((-p["order"]).alias("n"), p["key"].alias("key")))
+
+    return held(F.array_sort(keys), counted)
 
 
 def section(title: str, items: Column, gap: bool) -> Column:
@@ -138,12 +158,14 @@ def rules_and_files(issues: Column, roots: tuple[str, ...], rule_title: str = "T
 def joined_blocks(array: Column, start: Callable, stop: Callable, separator: str = "\n") -> Column:
     """Blocks of lines: one begins where `start` holds and goes on until the next start or a line where `stop` holds."""
 
-    def step(state: Column, line: Column) -> Column:
-        opens, ends = start(line), stop(line)
-        blocks = state["blocks"]
-        longer = F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(F.concat(last(blocks), F.lit(separator), line)))
-        on = F.when(opens, F.lit(True)).when(ends, F.lit(False)).otherwise(state["on"])
-        grown = F.when(opens, F.concat(blocks, F.array(line))).when(on & state["on"], longer).otherwise(blocks)
-        return F.struct(grown.alias("blocks"), on.alias("on"))
+    def whole(rest: Column) -> Column:
+        ends = F.coalesce(F.array_position(F.transform(F.slice(rest, F.lit(2), F.size(rest)), stop), True), F.lit(0))
+        return F.array_join(F.slice(rest, F.lit(1), F.when(ends == 0, F.size(rest)).otherwise(ends.cast("int"))), separator)
+
+    def split(items: Column) -> Column:
+        places = F.transform(items, lambda x, i: F.when(start(x), i))
+        opened = F.filter(places, lambda i: i.isNotNull())
+        until = lambda o, k, i: F.coalesce(F.get(o, k + 1), F.size(items)) - i
+        return held(opened, lambda o: F.transform(o, lambda i, k: held(F.slice(items, i + 1, until(o, k, i)), whole)))
 
-    return F.aggregate(array, F.struct(NOTHING.alias("blocks"), F.lit(False).alias("on")), step, lambda s: s["blocks"])
+    return held(array, split)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.argv import search_query
 from tracewell.functions.text import around_match, extension, lines, non_empty, rendered_full, trim, truncated, words
-from tracewell.operators.summarize.base import ARGS, ARGV, ERR_LINES, LINES, NOTHING, OUT, OUT_LINES, PREVIEW, STDERR, STDOUT, Summary, begins, count, cut, first, found, last, matching, say, take, tallied
+from tracewell.operators.summarize.base import ARGS, ARGV, ERR_LINES, LINES, NOTHING, OUT, OUT_LINES, PREVIEW, STDERR, STDOUT, Summary, begins, count, cut, first, found, held, last, matching, runs_of, say, take, tallied
 
 PER_FILE, HITS = 25, 200
 #: Environment variables by class; a class has a quota.
@@ -46,10 +46,14 @@ def env() -> Summary:
 
 def capped_hits(hits: Column) -> Column:
     """The first hits in order, 25 of a file and 200 in all at most."""
-    key = lambda h: F.substring_index(h, ":", 1)
-    # a file's hits count up to each; the files are few, the hits of a run bounded by its capture
-    marked = F.transform(hits, lambda h, i: F.struct(h.alias("h"), F.size(F.filter(F.slice(hits, F.lit(1), i + 1), lambda g: key(g) == key(h))).alias("n")))
-    return take(F.transform(F.filter(marked, lambda m: m["n"] <= PER_FILE), lambda m: m["h"]), HITS)
+    placed = F.array_sort(F.transform(hits, lambda h, i: F.struct(F.substring_index(h, ":", 1).alias("file"), i.alias("at"), h.alias("hit"))))
+
+    def first(ordered: Column) -> Column:
+        of_file = F.transform(runs_of(ordered, lambda x: x["file"]), lambda r: F.slice(ordered, r["at"] + 1, F.least(r["n"], F.lit(PER_FILE))))
+        return F.flatten(of_file)
+
+    back = F.array_sort(F.transform(held(placed, first), lambda x: F.struct(x["at"].alias("at"), x["hit"].alias("hit"))))
+    return take(F.transform(back, lambda x: x["hit"]), HITS)
 
 
 def search() -> Summary:
