@@ -84,6 +84,25 @@ def test_graph_recall():
     assert np.mean([len(set(want[i]) & set(got.c[got.v == i])) / 20 for i in range(100)]) >= 0.9
 
 
+def plans_of_pairs(monkeypatch, module) -> list:
+    """Takes the plans of the block pairs that a search makes."""
+    made, real = [], module.block_pairs
+
+    def kept(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(module, "block_pairs", kept)
+    return made
+
+
+def test_nearest_broadcasts_no_blocks(spark, monkeypatch):
+    """Small enough for a broadcast by the planner's estimate, which knows nothing of the copies for every group."""
+    made = plans_of_pairs(monkeypatch, ann)
+    ann.nearest_neighbours(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20, shard_rows=64)
+    assert [("Broadcast" in x._jdf.queryExecution().executedPlan().toString()) for x in made] == [False]
+
+
 @pytest.fixture(scope="module")
 def odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (None, [1.0, 1.0]), (7, [2.0]), (7, [2.0]), (8, [-1.0, -1.0]), (9, [])]

@@ -82,12 +82,13 @@ def block_pairs(queries: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
     """Every block of the query set beside every block of rows, by an exchange on groups of blocks.
 
     The `count` blocks of rows are dealt into groups, as many as there are shuffle partitions at most; each query
-    block goes to each group once. Columns of the query blocks get the prefix q_.
+    block goes to each group once. Columns of the query blocks get the prefix q_. Neither side is ever broadcast: the
+    planner knows neither a block's bytes nor that the query set goes to every group.
     """
     groups = max(1, min(count, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     blocks = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return queries.join(blocks, F.col("group") == F.col("q_group")).drop("q_group", "group")
+    return queries.hint("merge").join(blocks.hint("merge"), F.col("group") == F.col("q_group")).drop("q_group", "group")
 
 
 def each_pair(pairs: DataFrame, f: Callable[[dict], pa.RecordBatch], schema: str, columns: list[str]) -> DataFrame:
