@@ -103,6 +103,12 @@ def test_nearest_broadcasts_no_blocks(spark, monkeypatch):
     assert [("Broadcast" in x._jdf.queryExecution().executedPlan().toString()) for x in made] == [False]
 
 
+def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
+    made = plans_of_pairs(monkeypatch, topk)
+    topk.exact_top_k(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5, block_rows=64, block_queries=4)
+    assert [("Broadcast" in x._jdf.queryExecution().executedPlan().toString()) for x in made] == [False, False]
+
+
 @pytest.fixture(scope="module")
 def odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (None, [1.0, 1.0]), (7, [2.0]), (7, [2.0]), (8, [-1.0, -1.0]), (9, [])]
