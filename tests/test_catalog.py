@@ -36,6 +36,16 @@ def test_same_rows(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_human_format_of_large_ids(spark, tmp_path):
+    """Ids up to 6 million, where numbers pass 1e9 and 2^30."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id * 6000 + event_id % 7 AS event_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["human_format"](spark, str(tmp_path)).toPandas()
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        want = c.sql(catalog.ORACLE["human_format"]).df()
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

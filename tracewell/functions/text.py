@@ -116,22 +116,22 @@ def duration_ms(text: Column) -> Column:
     return F.round(number * F.when(unit == "ms", 1).when(unit == "s", 1000).otherwise(60000)).cast("long")
 
 
-def human_number(value: Column) -> Column:
-    """Thousands as K, M, B with one decimal."""
+def human_number(value: Column, units: int = 3) -> Column:
+    """Thousands as K, M, B with one decimal, by the first `units` of them."""
     size = F.abs(value)
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     text = size.cast("string")
-    for limit, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+    for limit, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B"))[:units]:
         text = F.when(size >= limit, F.format_string(f"%.1f{unit}", size / F.lit(limit))).otherwise(text)
     return F.concat(sign, text)
 
 
-def human_bytes(value: Column) -> Column:
-    """Powers of 1024 as KB, MB, GB with one decimal."""
+def human_bytes(value: Column, units: int = 3) -> Column:
+    """Powers of 1024 as KB, MB, GB with one decimal, by the first `units` of them."""
     size = F.abs(value)
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     text = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"))[:units]:
         text = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size / F.lit(float(1024**power)))).otherwise(text)
     return F.concat(sign, text)
 
