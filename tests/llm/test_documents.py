@@ -492,6 +492,40 @@ def test_long_texts_take_part_in_the_fits(spark):
     assert [r["score"] >= toxicity.DECISION for r in toxicity.score(asked, model).sort("doc_id").collect()] == [True, False, False]
 
 
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """More rows of both classes and longer texts than any sample; every one reaches the fit, as a whole."""
+    docs = spark.range(9_900).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, F.repeat(F.lit("calm sea "), 3000)).otherwise(F.lit("calm sea")).alias("text"), F.lit("en").alias("lang"))
+    seen = []
+
+    def spied(rows, fit):
+        seen.append(rows.agg(F.count("*"), F.sum("__toxic"), F.sum(F.length("__text"))).first())
+        return toxicity.Network(np.zeros(0, np.uint64), np.random.default_rng(0)).dump()
+
+    monkeypatch.setattr(toxicity, "fitted", spied)
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")), F.lit(True))
+    assert [tuple(x) for x in seen] == [(9_900, 3_300, 9_898 * 8 + 2 * 27_000)]
+
+
+def test_toxicity_learned_by_all_tasks(spark):
+    """Word counts, weights and thresholds of many tasks: a text tells as well as after the fit in one task."""
+    texts, labels, langs = toxic_sample(3000)
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels[:2000])], "doc_id long, toxic int")
+    chars = sum(map(len, texts[:2000]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, so several tasks
+    try:
+        model = toxicity.train(docs, known, F.lit(True), task_chars=chars // 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    flagged = {r["doc_id"]: r["score"] >= toxicity.DECISION for r in toxicity.score(docs, model).collect()}
+    assert np.mean([flagged[i] == labels[i] for i in range(2000, 3000)]) > 0.97
+    net = toxicity._network(model)
+    hashes, before = toxicity.word_hashes(*text_bytes(pa.array(texts[:2000])))
+    key, _ = toxicity.occurrences(hashes, before, np.ones(2000, bool))
+    keys, docs_of = np.unique(key, return_counts=True)
+    assert set(net.keys.tolist()) == set(keys[docs_of >= toxicity.LEAST_DOCS].tolist())
+
+
 def test_toxicity_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs, labels, F.lit(True))
