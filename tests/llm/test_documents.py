@@ -285,6 +285,19 @@ def test_mix_of_odd_tables(spark, odd_docs, no_docs):
     assert mixing.mixed(odd_docs, mix).columns == odd_docs.columns
 
 
+def test_mix_plans_stay_small(spark, odd_docs, monkeypatch):
+    """No plan repeats the search of a cut for each use of it: the driver holds, changes and logs whole plans."""
+    joins, real = [], mixing.written
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return real(df, name)
+
+    monkeypatch.setattr(mixing, "written", counted)
+    mixing.pareto_mix(odd_docs)
+    assert max(joins) <= 4
+
+
 def test_mix_takes_rows_of_null_and_repeated_ids(spark):
     ids = [None] * 40 + [7] * 40 + list(range(100, 140))
     rows = [(x, f"{i} " + "w " * (i % 5), None if i % 7 == 0 else "abc"[i % 3]) for i, x in enumerate(ids)]
@@ -334,6 +347,18 @@ def test_unequal_odds_choose_the_sample(spark):
     assert len(plain ^ set(a.doc_id[extra > 0])) > 0.1 * len(plain)
 
 
+def test_lexicon_is_not_compiled_in_the_driver(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("compiled in the driver")
+
+    from pyspark import SparkFiles
+
+    docs = spark.createDataFrame([(1, "one two two " * 9)], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "build", unwanted)
+    lexicon = transducer.open_lexicon(SparkFiles.get(bpe.build_lexicon(docs, WORDS)))
+    assert (lexicon.places([b"one", b"two", b"three"]) >= 0).tolist() == [True, True, False]
+
+
 # ---- learned operators ----
 
 

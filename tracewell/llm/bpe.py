@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, share, text_bytes, written
+from tracewell.llm.shared import blocks, bounded_arrow, fitted, share, text_bytes, written
 from tracewell.llm.tokenids import tokenizer
 from tracewell.llm.transducer import Lexicon, build, open_lexicon
 
@@ -274,10 +274,11 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
     """Compiles the words of the most frequent parts between white space, counted over all documents, with their ids.
 
     The `size` most frequent parts of up to LEXICON_BYTES bytes, ties by their bytes. Classes of counts a twelfth apart
-    tell where the cut lies, so that only the class that holds it is ordered and only these parts reach the driver.
-    Gives the name of the shared file. The lexicon makes encoding quicker and changes no id.
+    tell where the cut lies, so that only the class that holds it is ordered. One task of an executor compiles these
+    parts; the driver gets the file only. Gives the name of the shared file. The lexicon makes encoding quicker and
+    changes no id.
     """
-    spark, bpe = docs.sparkSession, word_bpe(path)
+    spark = docs.sparkSession
     bounded_arrow(spark)
     counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").filter(F.octet_length("part") <= LEXICON_BYTES).groupBy("part").agg(F.sum("n").alias("n"))
     counts = written(counts.filter(F.col("n") >= LEAST_TIMES).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "bpe-counts")
@@ -287,13 +288,17 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
         if many >= room:
             break
         room -= many
-    chosen = []
+
+    def compiled(table: pa.Table) -> bytes:
+        bpe = word_bpe(path)
+        frequent = sorted({w for x in table.column("part").to_pylist() for w in bpe.split(x) if type(w) is bytes})
+        return build(frequent, bpe.merge(frequent))
+
+    chosen = counts.select("part").limit(0)
     if edge is not None:
-        last = counts.filter(F.col("bin") == edge).orderBy(F.desc("n"), "part").limit(size)
-        chosen = counts.filter(F.col("bin") > edge).select("part").collect() + last.select("part").collect()
-    parts = [bytes(r["part"]) for r in chosen][:size]
-    frequent = sorted({w for x in parts for w in bpe.split(x) if type(w) is bytes})
-    return share(spark, "lexicon", build(frequent, bpe.merge(frequent)))
+        last = counts.filter(F.col("bin") == edge).orderBy(F.desc("n"), "part").limit(room)
+        chosen = counts.filter(F.col("bin") > edge).select("part").unionByName(last.select("part"))
+    return share(spark, "lexicon", fitted(chosen, compiled))
 
 
 def _encoded(path: str, lexicon: str | None):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,27 +90,34 @@ def weight_of(size: Column) -> Column:
     return _weight(F.round(8 * F.log2(F.greatest(size, F.lit(1)))).cast("int"))
 
 
-def _fit(rows: DataFrame, room: DataFrame, small: bool) -> DataFrame:
+def _cut(rows: DataFrame, table: DataFrame, fine: int, small: bool) -> DataFrame:
+    """Of each source whose rows don't all fit: source, room, the bin of rank (of `fine`) in which the room ends, and the
+    words ahead of that bin."""
+    rows = _with(rows.withColumn("bin", F.floor(F.col("rank") * fine).cast("long")), table, small)
+    fill = rows.groupBy("source", "bin", "room", "ahead").agg(F.sum("size").alias("words"))
+    fill = fill.withColumn("run", F.col("ahead") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))).filter("run > room")
+    cut = fill.groupBy("source", "room").agg(F.min_by(F.struct("bin", (F.col("run") - F.col("words")).alias("sure")), "bin").alias("cut"))
+    return cut.select("source", "room", F.col("cut.bin").alias("cut"), F.col("cut.sure").cast("long").alias("ahead"))
+
+
+def _fit(rows: DataFrame, room: DataFrame, small: bool, name: str) -> DataFrame:
     """Of each source the first rows by rank whose words fit into its room: the rows' columns and `fits`.
 
     A histogram of the ranks finds the bin that holds the cut, a second one of that bin its part; only that part's rows
-    are ordered, so no source however large meets in one task.
+    are ordered, so no source however large meets in one task. The cuts are written, a row for each source: as part of
+    one plan each of them would stand in it once for every use of it, and the driver pays for the size of a plan.
     """
-    columns, done = rows.columns, []
-    rows = _with(rows, room, small).withColumn("ahead", F.lit(0).cast("long"))
-    for fine in (BINS, BINS * BINS):
-        rows = rows.withColumn("bin", F.floor(F.col("rank") * fine).cast("long"))
-        fill = rows.groupBy("source", "bin", "room", "ahead").agg(F.sum("size").alias("words"))
-        run = F.col("ahead") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-        fill = fill.withColumn("run", run).filter("run > room")
-        cut = fill.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("run") - F.col("words")).alias("sure")), "bin").alias("cut")).withColumnRenamed("source", "__source")
-        # a source without a cut fits as a whole
-        rows = rows.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        done.append(rows.filter("cut is null or bin <> cut.bin").select(*columns, F.coalesce(F.col("bin") < F.col("cut.bin"), F.lit(True)).alias("fits")))
-        rows = rows.filter("bin = cut.bin").withColumn("ahead", F.col("cut.sure").cast("long")).drop("cut")
+    columns = rows.columns
+    coarse = written(_cut(rows, room.withColumn("ahead", F.lit(0).cast("long")), BINS, small), f"mix-coarse-{name}")
+    inside = _with(rows, coarse.select("source", "cut"), small).filter(F.floor(F.col("rank") * BINS).cast("long") == F.col("cut")).select(*columns)
+    cuts = written(_cut(inside, coarse.drop("cut"), BINS * BINS, small), f"mix-cut-{name}").withColumnRenamed("source", "__source")
+    # a source without a cut fits as a whole; BINS is a power of two, so bins of both sizes stand in one order
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("__source")), "left")
+    rows = rows.withColumn("bin", F.floor(F.col("rank") * (BINS * BINS)).cast("long"))
+    whole = rows.filter("cut is null or bin <> cut").select(*columns, F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)).alias("fits"))
     upto = F.col("ahead") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size", KEY).rowsBetween(Window.unboundedPreceding, 0))
-    done.append(rows.withColumn("upto", upto).select(*columns, (F.col("upto") <= F.col("room")).alias("fits")))
-    return reduce(DataFrame.unionByName, done)
+    parted = rows.filter("bin = cut").withColumn("upto", upto).select(*columns, (F.col("upto") <= F.col("room")).alias("fits"))
+    return whole.unionByName(parted)
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -154,7 +159,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     rows = ranked.select(KEY, "source", "size", (q / (1 + q)).alias("rank"))
     room, taken = plan.filter("open > 0").select("source", F.col("open").alias("room")), None
     for k in range(1 + FILLS):
-        fitted = written(_fit(rows, room, small), f"mix-fit-{k}")
+        fitted = written(_fit(rows, room, small, str(k)), f"mix-fit-{k}")
         more = fitted.filter("fits")
         taken = more if taken is None else taken.unionByName(more)
         if k == 0:
