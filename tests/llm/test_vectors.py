@@ -109,6 +109,22 @@ def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
     assert [("Broadcast" in x._jdf.queryExecution().executedPlan().toString()) for x in made] == [False, False]
 
 
+@pytest.mark.parametrize("search, written_in, k", [(ann.nearest_neighbours, ann, 20), (topk.exact_top_k, topk, 5)])
+def test_searches_broadcast_no_table(spark, monkeypatch, search, written_in, k):
+    """Neither the written steps nor the result bring rows to the driver, though these are far below Spark's threshold."""
+    plans, real = [], written_in.written
+
+    def kept(df, name):
+        plans.append(df)
+        return real(df, name)
+
+    monkeypatch.setattr(written_in, "written", kept)
+    plans.append(search(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k))
+    plans[-1].collect()
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (None, [1.0, 1.0]), (7, [2.0]), (7, [2.0]), (8, [-1.0, -1.0]), (9, [])]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import bounded_arrow, written
-from tracewell.llm.vectors import answers, block_pairs, distinct_vectors, each_pair, matrix, packed, usable, width_of
+from tracewell.llm.vectors import answers, block_pairs, distinct_vectors, each_pair, matrix, merged, packed, usable, width_of
 
 #: Rows of a shard, at most; out-edges of a node; beam of the build; by how much nearer a kept edge must bring one.
 SHARD_ROWS, DEGREE, BUILD_BEAM, RELAX = 8192, 32, 72, 1.2
@@ -209,7 +209,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "v
     width = max(1, width_of(vecs))
     shards = max(1, -(-vecs.count() // shard_rows))
     index = written(build_index(vecs, width, shards), "ann-index")
-    asked = written(rows.filter(is_query).select("vector").distinct().join(vecs, "vector").select("v", "vector", F.lit(0).cast("long").alias("extra")), "ann-queries")
+    asked = written(merged(rows.filter(is_query).select("vector").distinct(), vecs, "vector").select("v", "vector", F.lit(0).cast("long").alias("extra")), "ann-queries")
     queries = packed(asked.coalesce(1 + asked.count() // BLOCK_QUERIES), width, BLOCK_QUERIES, "<f8")
     pairs = block_pairs(queries, index, shards)
     found = each_pair(pairs, _searched(k + 1), "v long, c long, score double", ["q_keys", "q_matrix", "keys", "matrix", "graph", "entry"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import bounded_arrow, written
-from tracewell.llm.vectors import answers, block_pairs, distinct_vectors, each_pair, packed, usable, width_of
+from tracewell.llm.vectors import answers, block_pairs, distinct_vectors, each_pair, merged, packed, usable, width_of
 
 LISTS = 2
 #: Rows and queries of a block.
@@ -128,7 +128,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, scale: int = 256, id_co
     rows = written(rows.select("vec_id", F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("vector")), "topk-rows")
     vecs = distinct_vectors(rows, k, "topk-vectors")
     width = max(width_of(vecs), LISTS)
-    asked = written(rows.filter(is_query).select("vector").distinct().join(vecs, "vector").select("v", "vector"), "topk-queries")
+    asked = written(merged(rows.filter(is_query).select("vector").distinct(), vecs, "vector").select("v", "vector"), "topk-queries")
     blocks = written(packed(vecs.select("v", "vector", F.col("ids")[0].alias("extra")), width, block_rows, "<i8"), "topk-blocks")
     count, groups = blocks.count(), 1 + asked.count() // block_queries
     columns, schema = ["q_keys", "q_matrix", "q_extras", "keys", "extras", "matrix"], "v long, c long, least long, score long"
@@ -137,7 +137,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, scale: int = 256, id_co
     heads = each_pair(block_pairs(queries, blocks, count), _heads(k + 1), schema, columns)
     cutoff = _best(heads, k + 1).filter(F.col("place") == k + 1).select("v", F.col("score").alias("cutoff"))
 
-    with_cutoff = written(asked.join(cutoff, "v", "left").select("v", "vector", F.coalesce("cutoff", F.lit(LOWEST)).alias("extra")), "topk-cutoffs")
+    with_cutoff = written(merged(asked, cutoff, "v", "left").select("v", "vector", F.coalesce("cutoff", F.lit(LOWEST)).alias("extra")), "topk-cutoffs")
     queries = packed(with_cutoff.coalesce(groups), width, block_queries, "<i8")
     enough = each_pair(block_pairs(queries, blocks, count), _above(k + 1), schema, columns)
     best = _best(enough, k + 1).select("v", "c", "score")

@@ -37,6 +37,12 @@ def distinct_vectors(rows: DataFrame, nearest: int, name: str) -> DataFrame:
     return written(found.select(F.monotonically_increasing_id().alias("v"), "vector", "ids"), name)
 
 
+def merged(one: DataFrame, other: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the input. It is never a broadcast: the planner's estimate is of packed files, and
+    vectors take several times that in the driver."""
+    return one.hint("merge").join(other.hint("merge"), by, how)
+
+
 def matrix(col: pa.Array, width: int, kind: type) -> np.ndarray:
     """The vectors of a column as rows; shorter ones count as padded with zeros."""
     if isinstance(col, pa.ChunkedArray):
@@ -115,12 +121,12 @@ def answers(found: DataFrame, vecs: DataFrame, rows: DataFrame, is_query: Column
     Equal query vectors were searched once; every query row gets their candidates' ids, its own left out, best
     score first, ties to the smaller id.
     """
-    best = found.join(vecs.select(F.col("v").alias("c"), "ids"), "c").select("v", "score", F.explode("ids").alias("vec_id"))
+    best = merged(found, vecs.select(F.col("v").alias("c"), "ids"), "c").select("v", "score", F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "vec_id"))
     best = best.withColumn("place", place).filter(F.col("place") <= nearest + 1)
     best = best.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
-    of_vector = best.join(vecs.select("v", F.col("vector")), "v").select("vector", "best")
-    asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(of_vector, "vector")
+    of_vector = merged(best, vecs.select("v", F.col("vector")), "v").select("vector", "best")
+    asked = merged(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector"), of_vector, "vector")
     left = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest)
     out = asked.select("query_id", F.posexplode(left).alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
