@@ -3,12 +3,14 @@ mixed to their weights, tokens. Each stage is written as Parquet and read again
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, minhash, mixing, secrets, toxicity
 from tracewell.llm.catalog import bpe_digest, vocabulary
-from tracewell.llm.shared import crc_remainder, written
+from tracewell.llm.shared import crc_remainder, settled
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks for."""
     docs = mixing.keyed(docs)
-    return mixing.mixed(docs, mixing.pareto_mix(docs))
+    return mixing.mixed(docs, settled(spark, lambda: mixing.pareto_mix(docs).select(mixing.KEY, "copies"), "mix-copies"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -1,10 +1,14 @@
 """The pipeline: each stage's decisions take effect, clean documents stay."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import pandas as pd
 import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import SF
+from tracewell.llm import shared
 from tracewell.llm.secrets import base_spans
 from tracewell.llm.shared import written
 
@@ -46,3 +50,39 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), name)
         assert docs.count() >= 0
+
+
+def folders(made):
+    """Paths of the tables among the work folders made that still stand; files that executors fetch are not tables."""
+    return {p for p in map(lambda x: urlparse(x).path, made) if Path(p).is_dir() and not Path(p).name.startswith("share-")}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_leave_only_tables_that_their_results_read(spark, monkeypatch, name):
+    monkeypatch.setattr(shared, "_made", made := [])
+    out = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert folders(made) <= {str(Path(urlparse(f).path).parent) for f in out.inputFiles()}
+    assert out.count() > 0
+
+
+def test_run_leaves_only_what_the_stages_return(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_made", made := [])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert sorted(Path(p).name.rpartition("-")[0] for p in folders(made)) == sorted(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES)
+
+
+def test_settled_rows_stay_and_inner_tables_go(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_made", made := [])
+
+    def make():
+        first = written(spark.range(5), "first")
+        return shared.settled(spark, lambda: written(first.filter("id > 0"), "inner").filter("id < 4"), "second").filter("id <> 2")
+
+    before = written(spark.range(3), "before")
+    out = shared.settled(spark, make, "out")
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark):
+        written(spark.range(2), "failed").count() / 0
+    assert sorted(r["id"] for r in out.collect()) == [1, 3] and before.count() == 3
+    assert {Path(p).name.rpartition("-")[0] for p in folders(made)} == {"before", "out"}
+    shared.release(spark)
+    assert not folders(made) and not made

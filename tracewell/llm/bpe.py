@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, fitted, share, text_bytes, written
+from tracewell.llm.shared import blocks, bounded_arrow, fitted, scratch, share, text_bytes, written
 from tracewell.llm.tokenids import tokenizer
 from tracewell.llm.transducer import Lexicon, build, open_lexicon
 
@@ -281,24 +281,25 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
     spark = docs.sparkSession
     bounded_arrow(spark)
     counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted(path), "part binary, n long").filter(F.octet_length("part") <= LEXICON_BYTES).groupBy("part").agg(F.sum("n").alias("n"))
-    counts = written(counts.filter(F.col("n") >= LEAST_TIMES).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "bpe-counts")
-    room, edge = size, None
-    for k, many in sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True):  # some hundred rows
-        edge = k
-        if many >= room:
-            break
-        room -= many
-
-    def compiled(table: pa.Table) -> bytes:
-        bpe = word_bpe(path)
-        frequent = sorted({w for x in table.column("part").to_pylist() for w in bpe.split(x) if type(w) is bytes})
-        return build(frequent, bpe.merge(frequent))
-
-    chosen = counts.select("part").limit(0)
-    if edge is not None:
-        last = counts.filter(F.col("bin") == edge).orderBy(F.desc("n"), "part").limit(room)
-        chosen = counts.filter(F.col("bin") > edge).select("part").unionByName(last.select("part"))
-    return share(spark, "lexicon", fitted(chosen, compiled))
+    with scratch(spark):
+        counts = written(counts.filter(F.col("n") >= LEAST_TIMES).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "bpe-counts")
+        room, edge = size, None
+        for k, many in sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True):  # some hundred rows
+            edge = k
+            if many >= room:
+                break
+            room -= many
+
+        def compiled(table: pa.Table) -> bytes:
+            bpe = word_bpe(path)
+            frequent = sorted({w for x in table.column("part").to_pylist() for w in bpe.split(x) if type(w) is bytes})
+            return build(frequent, bpe.merge(frequent))
+
+        chosen = counts.select("part").limit(0)
+        if edge is not None:
+            last = counts.filter(F.col("bin") == edge).orderBy(F.desc("n"), "part").limit(room)
+            chosen = counts.filter(F.col("bin") > edge).select("part").unionByName(last.select("part"))
+        return share(spark, "lexicon", fitted(chosen, compiled))
 
 
 def _encoded(path: str, lexicon: str | None):

@@ -8,6 +8,7 @@ coordinate fills, and two sets agree in a coordinate with the odds of their simi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, text_bytes, written
+from tracewell.llm.shared import blocks, bounded_arrow, settled, text_bytes, written
 
 #: Bands and coordinates of a band. A pair of similarity 0.8 shares no band with odds (1 - 0.8 ** 6) ** 40, about 5e-6.
 BANDS, ROWS = 40, 6
@@ -247,23 +248,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
-
-    Texts with equal shingle sets are one class and stand under one number. Classes that share a band of their
-    sketches are candidates. Within such a bucket pairs are not all made: its members are checked against its first
-    member; if all are then in one component it is done. Else those outside its largest component are checked
-    against all its members, in blocks of BLOCK by BLOCK, and only links come out. So each pair of a bucket has been
-    checked or is linked already. A check compares the full sets, shingle by shingle, from the texts. Nothing is
-    capped or dropped. Texts count as one class by a 128-bit print of their sets.
-
-    component_id is the least id reachable over links, the row's own included. Texts without words, and null texts,
-    link with nothing: their component is their own id. So is a row with a null id: its component is null. Rows with
-    equal ids are each judged by their text. An empty table gives no rows. Other columns are not read.
-    """
-    bounded_arrow(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(texts.mapInArrow(_sketched(width), "doc_id long, n long, p long, q long, bands array<long>"), "near-sketches")
+def _class_components(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """n, p, q and component_id of every class of the sketched rows; the tables that it writes serve for nothing else."""
     key = ["n", "p", "q"]
     # a class is known by its least id and its prints: ids may stand on several texts
     classes = rows.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
@@ -327,7 +313,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     named = labelled(classes.select("c", *key, "least"))
     component = F.min("least").alias("component_id")
     least = named.groupBy("component").agg(component)
-    final = named.select(*key, "component").join(least, "component").select(*key, "component_id")
+    return named.select(*key, "component").join(least, "component").select(*key, "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Texts with equal shingle sets are one class and stand under one number. Classes that share a band of their
+    sketches are candidates. Within such a bucket pairs are not all made: its members are checked against its first
+    member; if all are then in one component it is done. Else those outside its largest component are checked
+    against all its members, in blocks of BLOCK by BLOCK, and only links come out. So each pair of a bucket has been
+    checked or is linked already. A check compares the full sets, shingle by shingle, from the texts. Nothing is
+    capped or dropped. Texts count as one class by a 128-bit print of their sets.
+
+    component_id is the least id reachable over links, the row's own included. Texts without words, and null texts,
+    link with nothing: their component is their own id. So is a row with a null id: its component is null. Rows with
+    equal ids are each judged by their text. An empty table gives no rows. Other columns are not read.
+    """
+    bounded_arrow(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = written(texts.mapInArrow(_sketched(width), "doc_id long, n long, p long, q long, bands array<long>"), "near-sketches")
+    key = ["n", "p", "q"]
+    final = settled(docs.sparkSession, partial(_class_components, rows, texts, width), "near-components")
     judged = rows.select("doc_id", *key).filter("n > 0 and doc_id is not null").join(final, key)
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", *key, F.col("doc_id").alias("component_id"))
     return judged.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
@@ -341,7 +348,7 @@ def kept(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     """
     row = "__near_row"
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-keyed")
-    found = written(near_duplicates(docs, width, row, text_col).withColumnRenamed("doc_id", row), "near-found")
+    found = settled(docs.sparkSession, partial(near_duplicates, docs, width, row, text_col), "near-found").withColumnRenamed("doc_id", row)
     member = found.filter("n_shingles > 0").join(docs.select(row, F.col(id_col).alias("id")), row)
     best = member.groupBy("component_id").agg(F.min("id").alias("least"), F.min(row).alias("first")).withColumnRenamed("component_id", "of")
     # by component and id, so that a large component meets in many tasks

@@ -190,5 +190,6 @@ def mixed(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     by, of = (KEY, KEY) if KEY in docs.columns and KEY in mix.columns else (id_col, "doc_id")
     copies = mix.filter("copies > 0").select(F.col(of).alias("__mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__mix_copies"))
-    joined = docs.join(copies, docs[by] == copies["__mix_id"])
+    # a written mix is small as a file, not as a broadcast table
+    joined = docs.join(copies.hint("merge"), docs[by] == copies["__mix_id"])
     return joined.withColumn("__mix_n", F.explode("__mix_copies")).select(*[c for c in docs.columns if c != KEY])

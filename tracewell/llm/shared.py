@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import io
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -44,6 +46,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 _made: list[str] = []
+#: Tables written within the innermost scratch() of this thread.
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
 
 
 def release(spark: SparkSession) -> None:
@@ -54,13 +58,41 @@ def release(spark: SparkSession) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark, folder = df.sparkSession, work_folder(df.sparkSession, name)
+    folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return _table(df, folder)
+
+
+def _table(df: DataFrame, folder: str) -> DataFrame:
+    if (tables := _scratch.get()) is not None:
+        tables.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at its end: for steps whose result doesn't read them. Shared files stay."""
+    token = _scratch.set(tables := [])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in tables:
+            remove(spark, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of what make() gives, written; the tables that make() wrote on its way are deleted."""
+    with scratch(spark):
+        df, folder = make(), work_folder(spark, name)
+        df.write.parquet(folder)
+    return _table(df, folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that is no longer read."""
+    if folder in _made:
+        _made.remove(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

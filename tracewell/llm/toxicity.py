@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
-from tracewell.llm.shared import blocks, bounded_arrow, fitted, share, text_bytes, written
+from tracewell.llm.shared import blocks, bounded_arrow, fitted, scratch, share, text_bytes, written
 
 #: Characters from which a text counts as a long one; such texts teach as a whole, too.
 SAMPLE_CHARS = 10_000
@@ -478,22 +478,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     rows = rows.join(known, "__id").groupBy("__id", "__toxic").agg(one)
     fold = F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(FOLDS)).alias("fold")
     rows = rows.select(F.xxhash64("__id", F.lit("order")).alias("dice"), F.col("one.__text").alias("__text"), "__toxic", fold, F.col("one.__lang").alias("__lang"))
-    rows = written(rows.sortWithinPartitions("dice"), "toxicity-rows")
-    size = rows.agg(F.sum(F.length("__text")).alias("chars"), F.countDistinct("__toxic").alias("classes")).first()
-
-    def fit(table: pa.Table) -> bytes:
-        table = table.sort_by([("dice", "ascending"), ("__text", "ascending")])
-        labels = np.array(table.column("__toxic").to_pylist(), np.int64)
-        net = learned(table.column("__text").to_pylist(), labels, table.column("__lang").to_pylist())
-        if len(set(labels.tolist())) < 2:
-            net.out[:], net.constant[:], net.thresholds[:] = 0, -4, 0
-        return net.dump()
-
-    if size["classes"] < 2:
-        return share(docs.sparkSession, "toxicity", fitted(rows.limit(0), fit))
-    if size["chars"] <= task_chars:
-        return share(docs.sparkSession, "toxicity", fitted(rows, fit))
-    return share(docs.sparkSession, "toxicity", learned_by_all(rows.select("__text", "__toxic", "fold", "__lang")).dump())
+    with scratch(docs.sparkSession):
+        rows = written(rows.sortWithinPartitions("dice"), "toxicity-rows")
+        size = rows.agg(F.sum(F.length("__text")).alias("chars"), F.countDistinct("__toxic").alias("classes")).first()
+
+        def fit(table: pa.Table) -> bytes:
+            table = table.sort_by([("dice", "ascending"), ("__text", "ascending")])
+            labels = np.array(table.column("__toxic").to_pylist(), np.int64)
+            net = learned(table.column("__text").to_pylist(), labels, table.column("__lang").to_pylist())
+            if len(set(labels.tolist())) < 2:
+                net.out[:], net.constant[:], net.thresholds[:] = 0, -4, 0
+            return net.dump()
+
+        if size["classes"] < 2:
+            return share(docs.sparkSession, "toxicity", fitted(rows.limit(0), fit))
+        if size["chars"] <= task_chars:
+            return share(docs.sparkSession, "toxicity", fitted(rows, fit))
+        return share(docs.sparkSession, "toxicity", learned_by_all(rows.select("__text", "__toxic", "fold", "__lang")).dump())
 
 
 @functools.cache
